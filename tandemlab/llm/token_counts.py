@@ -44,18 +44,22 @@ def resynchronised(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
     overlap, up to the text's end, so that every text ends exact.
     """
     ids: list[int] = []
-    begin, skip, chunks = 0, 0, 0  # tokens that start before `skip` are already there
+    begin, skip, chunks = 0, 0, 1  # tokens that start before `skip` are already there
+    left = encode(text[:chunk])
     while True:
         end, extra = begin + chunk, 0
         while True:
             stop = min(end + extra, len(text))
-            left = encode(text[begin:stop])
-            chunks += 1
+            if extra:
+                left = encode(text[begin:stop])
+                chunks += 1
             keep = [(a + begin, token) for token, (a, _) in zip(left.ids, left.offsets, strict=True)]
             if stop == len(text):
                 return ids + [token for a, token in keep if a >= skip], chunks
             start = max(begin + 1, end - overlap)
-            right = encode(text[start : min(start + chunk, len(text))])
+            if not extra:
+                right = encode(text[start : min(start + chunk, len(text))])
+                chunks += 1
             ahead = {a + start for a, _ in right.offsets}
             both = ahead.intersection(a for a, _ in keep)
             # the last shared start that is proven stable; the chunk's own last word may be cut
@@ -65,7 +69,7 @@ def resynchronised(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
             extra = max(2 * extra, overlap)
         place = places[-1]
         ids += [token for a, token in keep if skip <= a < place]
-        begin, skip = start, place
+        begin, skip, left = start, place, right
 
 
 def count_tokens(encoder, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
