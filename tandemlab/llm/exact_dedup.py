@@ -62,8 +62,9 @@ def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = source.mapInArrow(_digits(first_digit, True), "doc_id long, digit binary, rest binary, text_sha256 string")
     keys, width, done = ["digit"], first_digit, []
     while True:
-        # group rows come from a table: both sides are shuffled for this join alone, so AQE can split hot groups
-        joined = rows.join(groups, keys, "left")
+        # both sides are shuffled for this join alone, so AQE can split hot groups;
+        # the groups grow with the input and are never broadcast
+        joined = rows.join(groups.hint("merge"), keys, "left")
         ended = F.octet_length("digit") < width
         alone = F.col("_n").isNull()
         state = joined.select(
