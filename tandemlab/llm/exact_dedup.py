@@ -105,4 +105,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     keyed = docs.withColumn("_sha", F.arrow_udf(digest, "string")(F.col(text_col).cast("string"))).withColumn("_key", doc_key(id_col, F.col("_sha")))
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    return keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select(*docs.columns)

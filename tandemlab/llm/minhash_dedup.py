@@ -200,7 +200,7 @@ def _sets(source: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int)
     """(node, data): the whole shingle sets of the wanted nodes, from one
     document of each."""
     named = cut(nodes.join(wanted, "node").select("node", F.col("digest").alias("_digest"), F.col("doc_id").alias("_id")), "wanted-nodes")
-    rows = source.join(named.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = source.join(named.select("_id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = features(rows, shingle, "set")
     found = found.join(named, F.col("digest") == F.col("_digest")).groupBy("node").agg(F.first("data").alias("data"))
     return cut(found, "sets")
@@ -234,5 +234,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     keyed = docs.withColumn("_digest", F.arrow_udf(digest, "binary")(F.col(text_col).cast("string"))).withColumn("_key", doc_key(id_col, F.hex("_digest")))
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    rows = keyed.join(kept, "_key", "left_semi").withColumn("_nth", first)
+    rows = keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first)
     return rows.where("_nth = 1 or _digest is null").select(*docs.columns)

@@ -122,5 +122,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn("_key", doc_key(id_col, crc, F.col(source_col).cast("string")))
     # rows equal in id, source and text share one plan row: its copies go to the first
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    joined = keyed.join(plan, "_key").withColumn("_nth", nth).where("_nth = 1")
+    joined = keyed.join(plan.hint("merge"), "_key").withColumn("_nth", nth).where("_nth = 1")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)

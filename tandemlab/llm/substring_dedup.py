@@ -212,7 +212,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     wanted = cut(wanted, "wanted-minimisers")
     # rows that are equal in id and text give the same spans: one is enough
-    packed = rows.join(wanted, "key").mapInArrow(_packed, "mini long, digest binary, key string, rank long, start long, packed binary")
+    packed = rows.join(wanted.hint("merge"), "key").mapInArrow(_packed, "mini long, digest binary, key string, rank long, start long, packed binary")
     packed = cut(packed, "super-kmers")
     cold = packed.where("digest = x''").repartition("mini").sortWithinPartitions("mini")
     spans = cold.select("mini", "packed", "rank", "start", "key").mapInArrow(_buckets, "key string, first long, end long")
@@ -243,7 +243,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = spans.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_s"))
     packer = F.arrow_udf(_pack_spans, "binary")
     pairs = cut(pairs.select("key", packer(F.flatten(F.transform("_s", lambda s: F.array(s["first"], s["end"])))).alias("spans")), "spans")
-    rows = keyed(docs, id_col, text_col).join(pairs, "key", "left").select("doc_id", "text", "spans")
+    rows = keyed(docs, id_col, text_col).join(pairs.hint("merge"), "key", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_stripped, "doc_id long, n_words long, n_kept long, kept_text string")
 
 
