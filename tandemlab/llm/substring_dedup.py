@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,8 +26,12 @@ from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, run_
 WINDOW, RUN = 50, 8
 #: Minimisers that occur in more documents than this have their windows dealt
 #: out one by one, under a 128-bit digest, so that no bucket grows with a hot
-#: passage; all others meet as packed strings.
-HOT = 2000
+#: passage; all others meet as packed strings. A packed string has at most 92
+#: words, so a full bucket holds about 10 MB of them.
+HOT = 20_000
+#: Distinct packed strings whose windows are sorted at once (about 20 MB); a
+#: bucket of more is sorted in parts, windows dealt to parts by their bytes.
+SORTED = 2000
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -115,17 +120,22 @@ def repeats_in_bucket(rows: list[tuple[bytes, int, int, str]]) -> list[tuple[str
         packs[packed] = min(rank, packs.get(packed, rank))
     if len(packs) == 1 and all(rank == rows[0][1] for _, rank, _, _ in rows):
         return []
-    windows = []
-    for packed, rank in packs.items():
-        ends = [-1] + [k for k, byte in enumerate(packed) if byte == 32] + [len(packed)]
-        windows += [(packed[ends[w] + 1 : ends[w + WINDOW]], rank, packed, w) for w in range(len(ends) - WINDOW)]
-    windows.sort(key=lambda x: x[:2])
-    least: dict[bytes, list[int]] = defaultdict(list)
-    before, owner = None, 0
-    for window, rank, packed, w in windows:
-        if window != before:
-            before, owner = window, rank
-        least[packed].append((w, owner))
+    parts = -(-len(packs) // SORTED)
+    least: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    for part in range(parts):
+        windows = []
+        for packed, rank in packs.items():
+            ends = [-1] + [k for k, byte in enumerate(packed) if byte == 32] + [len(packed)]
+            for w in range(len(ends) - WINDOW):
+                window = packed[ends[w] + 1 : ends[w + WINDOW]]
+                if parts == 1 or zlib.crc32(window) % parts == part:
+                    windows.append((window, rank, packed, w))
+        windows.sort(key=lambda x: x[:2])
+        before, owner = None, 0
+        for window, rank, packed, w in windows:
+            if window != before:
+                before, owner = window, rank
+            least[packed].append((w, owner))
     out = []
     for packed, rank, start, key in rows:
         at = sorted(w for w, owner in least[packed] if owner < rank)
