@@ -23,6 +23,8 @@ BANDS, ROWS = 40, 6
 #: A candidate goes on to the full sets if this share of its minima agree; at a
 #: similarity of 0.8, 240 minima agree less often than this six deviations out.
 AGREE = 0.64
+#: Nodes of a bucket that are held at once against its queries.
+BLOCK = 4096
 
 
 def universal_hashes(n: int = BANDS * ROWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -163,28 +165,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("minima", k * ROWS * 4 + 1, F.lit(ROWS * 4))))
     members = nodes.select("node", F.explode(bands).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("pivot")).where("_n > 1")
-    shared = cut(shared.select("bucket", "pivot"), "buckets")
+    shared = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
     members = cut(members.join(shared, "bucket"), "members")
+    # the centre of a group shares most buckets with most others: it is the pivot
+    weight = members.groupBy("node").agg(F.sum("_n").alias("_weight"))
+    pivots = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct(F.col("_weight"), (-F.col("node")).alias("node"))).alias("_top"))
+    pivots = cut(pivots.select("bucket", (-F.col("_top.node")).alias("pivot")), "pivots")
 
     # round 1: one pivot for each node
-    votes = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("_n"))
-    first = votes.groupBy("node").agg(F.max(F.struct(F.col("_n"), -F.col("pivot"))).alias("_best"))
-    pairs = first.select(F.col("node").alias("a"), (-F.col("_best.col2")).alias("b"))
+    votes = members.join(pivots, "bucket").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("_n"))
+    first = votes.groupBy("node").agg(F.max(F.struct(F.col("_n"), (-F.col("pivot")).alias("pivot"))).alias("_best"))
+    pairs = first.select(F.col("node").alias("a"), (-F.col("_best.pivot")).alias("b"))
     sets = _sets(source, nodes, members.select("node").distinct(), shingle)
     links = _linked(pairs, nodes, sets, percent)
     roots = cut(components(links), "components")
 
     # round 2: bucket mates that are not yet in one component
-    rooted = cut(members.drop("pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = cut(members.drop("_n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("_n", "root")).alias("_top"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
-    mixed = cut(mixed.select("bucket", F.col("_top.root").alias("body")), "mixed-buckets")
-    open_rows = cut(rooted.join(mixed, "bucket"), "open-rows")
-    outside = open_rows.where("root <> body").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    crossing = outside.join(open_rows.select("bucket", F.col("node").alias("b"), "root"), "bucket").where("root_a <> root")
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _linked(crossing, nodes, sets, percent)
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("_n", "root")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_all")).where("_parts > 1")
+    mixed = cut(mixed.select("bucket", F.col("_top.root").alias("body"), F.ceil(F.col("_all") / BLOCK).alias("_blocks")), "mixed-buckets")
+    crossing = _crossing(rooted.join(mixed, "bucket"), sets, percent)
+    more = _linked(cut(crossing.distinct(), "crossing"), nodes, sets, percent)
     if not more.isEmpty():
         roots = cut(components(links.unionAll(more)), "components")
 
@@ -202,8 +204,79 @@ def _sets(source: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int)
     named = cut(nodes.join(wanted, "node").select("node", F.col("digest").alias("_digest"), F.col("doc_id").alias("_id")), "wanted-nodes")
     rows = source.join(named.select("_id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = features(rows, shingle, "set")
-    found = found.join(named, F.col("digest") == F.col("_digest")).groupBy("node").agg(F.first("data").alias("data"))
-    return cut(found, "sets")
+    found = found.join(named, F.col("digest") == F.col("_digest")).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("data").alias("data"))
+    return cut(found.withColumn("sketch", F.arrow_udf(_sketch, "binary")("data")), "sets")
+
+
+def _sketch(column: pa.Array) -> pa.Array:
+    """A bitmap of each set, of eight bits a member or more: a power of two, so
+    that a longer one can be folded onto a shorter."""
+    out = []
+    for value in column:
+        members = np.frombuffer(value.as_py(), np.uint64)
+        bits = np.zeros(max(2048, 1 << (8 * len(members) - 1).bit_length()), bool)
+        bits[(members & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _crossing(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): mates of one bucket in different components whose similarity may
+    reach the threshold. The nodes outside a bucket's largest component are its
+    queries; they meet its nodes in blocks of about BLOCK, inside a task, and
+    only pairs that pass an exact bound leave it."""
+    rows = open_rows.join(sets.select("node", "n", "sketch"), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("_blocks"))
+    targets = rows.select("bucket", block.alias("block"), F.lit(1).alias("role"), "node", "root", "n", "sketch")
+    queries = rows.where("root <> body").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "root", "n", "sketch")
+    dealt = targets.unionAll(queries).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(_meet(percent), "a long, b long")
+
+
+def _meet(percent: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "role", "node", "root", "n", "sketch")]
+            for bucket, block, *row in zip(*columns, strict=True):
+                if (bucket, block) != current:
+                    yield from _pairs(rows, percent)
+                    current, rows = (bucket, block), []
+                rows.append(row)
+        yield from _pairs(rows, percent)
+
+    return meet
+
+
+def _pairs(rows: list, percent: int) -> Iterator[pa.RecordBatch]:
+    """Queries (role 0) against targets (role 1). The bits in which two bitmaps
+    differ are at most the members in which the sets differ, which at the
+    threshold are (100 - percent) / (100 + percent) of their summed sizes."""
+    queries, targets = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+    if not queries or not targets:
+        return
+    node, root, n = (np.array([r[k] for r in targets], np.int64) for k in (1, 2, 3))
+    widths = np.array([len(r[4]) for r in targets])
+    held = {w: (at := np.flatnonzero(widths == w), np.frombuffer(b"".join(targets[k][4] for k in at), np.uint64).reshape(len(at), -1)) for w in np.unique(widths)}
+    left, right = [], []
+    for _, own, own_root, size, sketch in queries:
+        mine = np.frombuffer(sketch, np.uint64)
+        for at, matrix in held.values():
+            width = min(matrix.shape[1], len(mine))
+            apart = np.bitwise_count(_folded(matrix, width) ^ _folded(mine[None], width)).sum(axis=1, dtype=np.int64)
+            near = at[(apart * (100 + percent) <= (n[at] + size) * (100 - percent)) & (root[at] != own_root)]
+            left += [own] * len(near)
+            right += node[near].tolist()
+    if left:
+        a, b = np.array(left, np.int64), np.array(right, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _folded(bitmaps: np.ndarray, width: int) -> np.ndarray:
+    while bitmaps.shape[1] > width:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] | bitmaps[:, half:]
+    return bitmaps
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
