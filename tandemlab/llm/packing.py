@@ -8,6 +8,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,32 +20,75 @@ LENGTH = 1024
 END_ID = 0
 #: Ranks are counted in so many parts per length, so that no length is one task.
 PARTS = 64
-#: The worker's memory of encoded words.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
-# A space between two white-space characters, or after one at the end: there
-# a byte-level tokenizer looks beyond the space.
-_AWKWARD = re.compile(r"\s \s|\s $")
+#: The worker's memory of encoded words: entries, and the longest word kept.
+REMEMBERED, REMEMBERED_CHARS = 800_000, 64
+#: Three white-space characters in a row, or two at the end: there a byte-level
+#: tokenizer looks beyond the place where the text would be cut.
+_AWKWARD = re.compile(r"\s\s\s|\s\s$")
+#: Words encoded in one call.
+TOGETHER = 2000
 
 
 def encode_texts(encoder, memory: dict[str, bytes], texts: list[str]) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit words. Texts are cut before
-    single spaces, where a byte-level tokenizer always starts a new word, and
-    words (with their space) are encoded once by the tokenizer; texts with
-    awkward white space are encoded whole."""
+    """The ids of each text as little-endian 32-bit words.
+
+    Texts are cut before every space and line feed. A byte-level tokenizer
+    starts a new word there, whatever stands around it, unless white space runs
+    on (_AWKWARD; such texts are encoded whole). Each distinct word, with the
+    space or line feed before it, is encoded once by the tokenizer."""
     if len(memory) > REMEMBERED:
         memory.clear()
-    cuts = [None if _AWKWARD.search(text) else text.split(" ") for text in texts]
+    cuts = [None if _AWKWARD.search(text) else text.replace("\n", " \n").split(" ") for text in texts]
+    missing = set().union(*(words[1:] for words in cuts if words)).difference(memory)
+    _remember(encoder, memory, missing)
     firsts = [text if words is None else words[0] for text, words in zip(texts, cuts, strict=True)]
-    missing = list({w for words in cuts if words for w in words[1:]} - memory.keys())
-    encode = lambda batch: (array("I", got.ids).tobytes() for got in encoder.encode_batch_fast(batch, add_special_tokens=False))
-    fresh = dict(zip(missing, encode([" " + w for w in missing]), strict=True))
-    out = []
-    for first, words in zip(encode(firsts), cuts, strict=True):
-        out.append(first if words is None else first + b"".join([memory[w] if w in memory else fresh[w] for w in words[1:]]))
-    memory.update((w, ids) for w, ids in fresh.items() if len(w) <= REMEMBERED_BYTES)
+    heads = (array("I", got.ids).tobytes() for got in encoder.encode_batch_fast(firsts, add_special_tokens=False))
+    known = memory.__getitem__
+    out = [head if words is None else head + b"".join(map(known, words[1:])) for head, words in zip(heads, cuts, strict=True)]
+    for word in missing:
+        if len(word) > REMEMBERED_CHARS:
+            del memory[word]
     return out
 
 
+def _remember(encoder, memory: dict[str, bytes], missing: set[str]) -> None:
+    """Encode the missing words. Those that begin with one space or line feed
+    and hold no other are encoded many in a call, and their ids told apart by
+    the only tokens that begin with that character; the others one by one."""
+    marks = _marks(encoder)
+    groups: dict[str, list[str]] = {" ": [], "\n": []}
+    for word in missing:
+        body = word[1:] if word[:1] == "\n" else word
+        if body and not body[0].isspace() and not body[-1].isspace():
+            groups["\n" if body is not word else " "].append(word)
+        else:
+            text = word if word[:1] == "\n" else " " + word
+            memory[word] = array("I", encoder.encode(text, add_special_tokens=False).ids).tobytes()
+    for mark, words in groups.items():
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            text = "".join(part) if mark == "\n" else " " + " ".join(part)
+            ids = np.array(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(marks[mark][ids])
+            if len(starts) != len(part):
+                raise ValueError(f"the tokenizer doesn't start words at {mark!r}")
+            raw, bounds = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
+            memory.update(zip(part, [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+
+
+def _marks(encoder) -> dict[str, np.ndarray]:
+    """Per mark, which ids begin with it (their byte-level letters)."""
+    made = worker_cache("marks")
+    if id(encoder) not in made:
+        vocabulary = encoder.get_vocab()
+        found = {mark: np.zeros(max(vocabulary.values()) + 1, bool) for mark in (" ", "\n")}
+        for piece, k in vocabulary.items():
+            for mark, letter in ((" ", "\u0120"), ("\n", "\u010a")):
+                found[mark][k] = piece.startswith(letter)
+        made[id(encoder)] = found
+    return made[id(encoder)]
+
+
 def _pieces(path: str, length: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 if with_ids else 5]
 
