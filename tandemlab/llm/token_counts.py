@@ -15,6 +15,8 @@ from tandemlab.llm.common import batches_by_bytes, worker_cache
 #: Texts over CHUNK characters are encoded in chunks that overlap by OVERLAP.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 _AFTER_SPACE = re.compile(r"(?<=[ \t\n\x0b\x0c\r])[^\s]")
+#: The worker's memory of counted words: entries, and the longest word kept.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64
 COUNTS = "n_bytes long, n_tokens long, n_chunks long"
 
 
@@ -72,27 +74,39 @@ def resynchronised(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
         begin, skip, left = start, place, right
 
 
-def count_tokens(encoder, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(tokens, chunks) of each text."""
-    whole = [k for k, text in enumerate(texts) if len(text) <= chunk]
-    out: list[tuple[int, int]] = [(0, 0)] * len(texts)
-    for k, got in zip(whole, encoder.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-        out[k] = (len(got.ids), 1)
-    for k in sorted(set(range(len(texts))) - set(whole)):
-        ids, chunks = resynchronised(lambda piece: encoder.encode(piece, add_special_tokens=False), texts[k], chunk, overlap)
-        out[k] = (len(ids), chunks)
+def count_tokens(encoder, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, memory: dict[bytes, int] | None = None) -> list[tuple[int, int]]:
+    """(tokens, chunks) of each text. Texts of up to `chunk` characters need no
+    splice: white space bounds their tokens everywhere, so each distinct word
+    between ASCII white space is encoded once, and counts add up."""
+    memory = {} if memory is None else memory
+    if len(memory) > REMEMBERED:
+        memory.clear()
+    words = [text.encode("utf-8", "surrogatepass").split() if len(text) <= chunk else None for text in texts]
+    missing = list(set().union(*(w for w in words if w)).difference(memory))
+    encoded = encoder.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in missing], add_special_tokens=False)
+    memory.update((w, len(got.ids)) for w, got in zip(missing, encoded, strict=True))
+    out = []
+    for text, own in zip(texts, words, strict=True):
+        if own is None:
+            ids, chunks = resynchronised(lambda piece: encoder.encode(piece, add_special_tokens=False), text, chunk, overlap)
+            out.append((len(ids), chunks))
+        else:
+            out.append((sum(map(memory.__getitem__, own)), 1))
+    for word in missing:
+        if len(word) > REMEMBERED_BYTES:
+            del memory[word]
     return out
 
 
 def _counting(path: str):
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = tokenizer(path)
+        encoder, memory = tokenizer(path), worker_cache(f"counts of {path}")
         for column in batches:
             sizes, found = [], []
             for part in batches_by_bytes(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 19):
                 texts = [text or "" for text in part.column(0).to_pylist()]
                 sizes += [len(text.encode()) for text in texts]
-                found += count_tokens(encoder, texts)
+                found += count_tokens(encoder, texts, memory=memory)
             yield pa.StructArray.from_arrays(
                 [pa.array(sizes, pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())],
                 ["n_bytes", "n_tokens", "n_chunks"],
