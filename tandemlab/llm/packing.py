@@ -22,9 +22,10 @@ END_ID = 0
 PARTS = 64
 #: The worker's memory of encoded words: entries, and the longest word kept.
 REMEMBERED, REMEMBERED_CHARS = 800_000, 64
-#: Three white-space characters in a row, or two at the end: there a byte-level
-#: tokenizer looks beyond the place where the text would be cut.
-_AWKWARD = re.compile(r"\s\s\s|\s\s$")
+#: Three white-space characters in a row, or two at the end or before what may be
+#: a special token (which ends the text as the tokenizer sees it): a byte-level
+#: tokenizer then looks beyond the place where the text would be cut.
+_AWKWARD = re.compile(r"\s\s(?:\s|$|<)")
 #: Words encoded in one call.
 TOGETHER = 2000
 
