@@ -21,7 +21,7 @@ END_ID = 0
 #: Ranks are counted in so many parts per length, so that no length is one task.
 PARTS = 64
 #: The worker's memory of encoded words: entries, and the longest word kept.
-REMEMBERED, REMEMBERED_CHARS = 1_500_000, 64
+REMEMBERED, REMEMBERED_CHARS = 1_200_000, 64
 #: Three white-space characters in a row, or two at the end or before what may be
 #: a special token (which ends the text as the tokenizer sees it): a byte-level
 #: tokenizer then looks beyond the place where the text would be cut.
