@@ -75,6 +75,12 @@ def doc_key(id_col: str, *more: Column) -> Column:
     return F.concat(*parts)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one struct column `_row`: working columns beside it can't clash
+    with its own. Undone by select("_row.*")."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def numbered_copies(df: DataFrame, keys: list[str], chunk: int = 1024) -> DataFrame:
     """One row per row of df with its keys and `copy`, 0.. among rows equal in
     all keys. Rows are counted, not gathered, so a row repeated any number of

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import cut, doc_key
+from tandemlab.llm.common import cut, doc_key, packed
 
 FIRST_DIGIT, GROWTH = 64, 8
 
@@ -103,6 +103,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for texts in batches:
             yield pa.array([hashlib.sha256(normalise(text.as_py())).hexdigest() for text in texts], pa.string())
 
-    keyed = docs.withColumn("_sha", F.arrow_udf(digest, "string")(F.col(text_col).cast("string"))).withColumn("_key", doc_key(id_col, F.col("_sha")))
+    digests = packed(docs).withColumn("_sha", F.arrow_udf(digest, "string")(F.col(f"_row.{text_col}").cast("string")))
+    keyed = digests.select("_row", doc_key(f"_row.{id_col}", F.col("_sha")).alias("_key"))
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    return keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    return keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, run_hashes
+from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, packed, run_hashes
 
 BANDS, ROWS = 40, 6
 #: A candidate goes on to the full sets if this share of its minima agree; at a
@@ -305,7 +305,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             joined = (b" ".join((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()) for text in column)
             yield pa.array([hashlib.blake2b(x, digest_size=16).digest() if x else None for x in joined], pa.binary())
 
-    keyed = docs.withColumn("_digest", F.arrow_udf(digest, "binary")(F.col(text_col).cast("string"))).withColumn("_key", doc_key(id_col, F.hex("_digest")))
+    keyed = packed(docs).withColumn("_digest", F.arrow_udf(digest, "binary")(F.col(f"_row.{text_col}").cast("string"))).withColumn("_key", doc_key(f"_row.{id_col}", F.hex("_digest")))
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
     rows = keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first)
-    return rows.where("_nth = 1 or _digest is null").select(*docs.columns)
+    return rows.where("_nth = 1 or _digest is null").select("_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WORD, cut, doc_key, numbered_copies, text_or_empty
+from tandemlab.llm.common import WORD, cut, doc_key, numbered_copies, packed, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -118,9 +118,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words are never taken more often than their whole copies."""
     plan = mix(docs, id_col, text_col, source_col, **how)
     plan = plan.groupBy(doc_key("doc_id", F.col("text_crc32"), F.col("source")).alias("_key")).agg(F.sum("copies").alias("_n")).where("_n > 0")
-    crc = F.crc32(text_or_empty(text_col).cast("binary"))
-    keyed = docs.withColumn("_key", doc_key(id_col, crc, F.col(source_col).cast("string")))
+    crc = F.crc32(text_or_empty(f"_row.{text_col}").cast("binary"))
+    keyed = packed(docs).withColumn("_key", doc_key(f"_row.{id_col}", crc, F.col(f"_row.{source_col}").cast("string")))
     # rows equal in id, source and text share one plan row: its copies go to the first
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
     joined = keyed.join(plan.hint("merge"), "_key").withColumn("_nth", nth).where("_nth = 1")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")

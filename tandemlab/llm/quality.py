@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WHITE
+from tandemlab.llm.common import WHITE, packed
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_upper long"
 SYMBOLS = b"#*$%&|<>"
@@ -134,4 +134,4 @@ def quality_columns(docs: DataFrame, policy: Policy = POLICIES[2], id_col: str =
 def keep_documents(docs: DataFrame, policy: Policy = POLICIES[2], text_col: str = "text") -> DataFrame:
     """The rows of docs that the policy and the base rules let through."""
     full = Policy(policy.version, policy.mask | BASE)
-    return ledger(docs, text_col).where(passes(full)).drop("_ledger")
+    return ledger(packed(docs), f"_row.{text_col}").where(passes(full)).select("_row.*")

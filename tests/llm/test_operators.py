@@ -1,0 +1,380 @@
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tandemlab.llm import exact_dedup, lm_scoring, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, token_counts, toxicity
+from tandemlab.llm.queries import tokenizer_path
+
+from corpus import by_pair, empty, frame, rows, split
+
+
+def order(r):
+    return tuple((x is not None, x) for x in r)
+
+
+# ---- sharding
+
+
+def test_shards_are_near_equal_and_gapless(spark):
+    found = sharding.shard(frame(spark), 4).collect()
+    assert sorted((r.doc_id is not None, r.doc_id, r.size, r.text_crc32) for r in found) == sorted(
+        (i is not None, i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows()
+    )
+    places = defaultdict(list)
+    for r in found:
+        places[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    assert sharding.shard(empty(spark), 4).count() == 0
+
+
+def test_repeated_rows_spread_over_slots(spark):
+    found = sharding.shard(spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text")), 3)
+    assert {r[1] for r in found.groupBy("shard").count().collect()} == {1000}
+
+
+def test_map_versions_and_growth(spark, tmp_path):
+    old = sharding.initial_map(3, 12)
+    new = sharding.rebalance(old, [9, 1, 1] * 4, [1] * 12)
+    assert new.version == 2 and max(new.loads()) - min(new.loads()) <= 8 < 32
+    grown = sharding.grow(new)
+    assert grown.n_shards == 4 and all(b in (a, 3) for a, b in zip(new.owner, grown.owner, strict=True)) and 3 in grown.owner
+    for version in (new, grown):
+        sharding.store_map(spark, version, str(tmp_path / "map"))
+    assert sharding.load_map(spark, str(tmp_path / "map")) == grown
+    assert sharding.load_map(spark, str(tmp_path / "map"), 2) == new
+    sharding.shard(frame(spark), 3, n_slots=12, map_path=str(tmp_path / "other"))
+    again = sharding.shard(frame(spark), 3, n_slots=12, map_path=str(tmp_path / "other"))
+    assert {r.map_version for r in again.collect()} == {3}
+
+
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    docs = frame(spark).drop("shard")
+    sharding.write_shards(docs, sharding.shard(docs, 4), str(tmp_path / "out"))
+    assert by_pair(spark.read.parquet(str(tmp_path / "out")), "doc_id", "text") == by_pair(docs, "doc_id", "text")
+
+
+# ---- mixing
+
+
+def targets_by_loop(sizes):
+    total, left = sum(sizes.values()), dict(sizes)
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    out = {}
+    while left:
+        level = (total - sum(out.values())) / sum(weight[s] for s in left)
+        full = [s for s in left if level * weight[s] > 3 * sizes[s]]
+        if not full:
+            out.update({s: level * weight[s] for s in left})
+            break
+        for s in full:
+            out[s] = 3.0 * left.pop(s)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 500, "c": 3, None: 90, "d": 0}, {"a": 1}, {"a": 100, "b": 100, "c": 100, "d": 1}, {"a": 0, "b": 0}])
+def test_targets(spark, sizes):
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = {r.source: r.target for r in mixing.source_targets(table).collect()}
+    assert found == pytest.approx(targets_by_loop(sizes))
+
+
+def test_mix_is_near_its_targets_and_repeatable(spark):
+    data = [(k, " ".join(["w"] * (1 + k % 40)), "en", f"s{k % 3}" if k % 11 else None, 0, *(("x",) * 9)) for k in range(3000)]
+    first, second = (mixing.mix(frame(spark, data)).collect() for _ in range(2))
+    assert sorted(map(str, first)) == sorted(map(str, second)) and len(first) == 3000
+    taken, target = Counter(), {}
+    for r in first:
+        assert r.size == 1 + r.doc_id % 40 and r.taken == r.copies * r.size <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
+def test_mixed_documents(spark):
+    docs = frame(spark)
+    plan = mixing.mix(docs).groupBy("doc_id", "text_crc32").agg(F.sum("copies").alias("n")).collect()
+    found = Counter((r.doc_id, zlib.crc32((r.text or "").encode())) for r in mixing.mixed_documents(docs).collect())
+    assert found == Counter({(r.doc_id, r.text_crc32): r.n for r in plan if r.n})
+    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mix(empty(spark)).count() == 0 == mixing.mixed_documents(empty(spark)).count()
+
+
+# ---- quality
+
+
+def test_ledger_measures(spark):
+    found = quality.quality_columns(frame(spark)).collect()
+    assert len(found) == len(rows())
+    want = []
+    for i, t, *_ in rows():
+        w = split(t)
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        twice = {x for x, n in Counter(windows).items() if n > 1}
+        covered = {k + j for k, x in enumerate(windows) if x in twice for j in range(5)}
+        lines = [x for x in (t or "").split("\n") if split(x)]
+        want.append((i, len(w), sum(len(x.decode()) for x in w), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)))
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in found]
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.kept <= (not r.base_failed) for r in found)
+
+
+def test_policies_and_ablation(spark):
+    table = quality.quality_columns(frame(spark))
+    policy = quality.POLICIES[2]
+    bits = [r.failed & policy.mask for r in table.collect()]
+    found = {r.rule: (r.n_failed, r.n_only) for r in quality.ablation(table, policy).collect()}
+    assert found == {name: (sum(bool(b & bit) for b in bits), bits.count(bit)) for name, bit in quality.BIT.items()}
+    kept = quality.keep_documents(frame(spark))
+    assert kept.columns == frame(spark).columns and kept.count() == sum(r.kept for r in table.collect())
+    assert quality.quality_columns(empty(spark)).count() == 0
+
+
+# ---- token counts
+
+
+def test_counts_equal_the_library(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder = token_counts.tokenizer(path)
+    found = token_counts.with_token_counts(frame(spark), path).select("doc_id", "_tokens.*").collect()
+    want = [(i, len((t or "").encode()), len(encoder.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows()]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in found), key=order) == sorted(want, key=order)
+    assert max(r.n_chunks for r in found) > 1
+
+
+def test_resynchronisation_widens_where_no_space_is():
+    encoder = token_counts.tokenizer(tokenizer_path("word_bpe_49k.json"))
+    encode = lambda s: encoder.encode(s, add_special_tokens=False)
+    rng = np.random.default_rng(1)
+    alphabet = ["a", "é", " ", "\n", "'s", "1", "!?", "<|endoftext|>", "́", "İ", "中", "x" * 30, " "]
+    for _ in range(300):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 90)))
+        for chunk, overlap in ((16, 4), (40, 12)):
+            assert token_counts.resynchronised(encode, text, chunk, overlap)[0] == encode(text).ids
+
+
+# ---- exact dedup
+
+
+def test_equal_texts(spark):
+    groups = defaultdict(list)
+    for i, t, *_ in rows():
+        groups[exact_dedup.normalise(t)].append(i)
+    want = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        for k, i in enumerate(sorted(ids, key=lambda i: i != keep)):
+            want.append((i, keep, len(ids), k == 0, hashlib.sha256(text).hexdigest()))
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    for first_digit in (1, 64):
+        assert by_pair(exact_dedup.equal_texts(frame(spark), first_digit=first_digit), *columns) == sorted(want, key=order)
+    kept = exact_dedup.drop_copies(frame(spark))
+    assert kept.count() == len(groups) and kept.columns == frame(spark).columns
+    assert exact_dedup.equal_texts(empty(spark)).count() == 0
+
+
+# ---- substring dedup
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeated_passages_go(spark, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SORTED", 2)
+    last = 1 << 63
+    first = {}
+    for i, t, *_ in rows():
+        w = split(t)
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            first[key] = min(first.get(key, last), last if i is None else i)
+    want = []
+    for i, t, *_ in rows():
+        w = split(t)
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < (last if i is None else i) for j in range(50)}
+        left = [x for k, x in enumerate(w) if k not in gone]
+        want.append((i, len(w), len(left), b" ".join(left).decode()))
+    found = by_pair(substring_dedup.strip_repeats(frame(spark), hot=hot), "doc_id", "n_words", "n_kept", "kept_text")
+    assert found == sorted(want, key=order)
+    assert any(n != k for _, n, k, _ in want) and substring_dedup.strip_repeats(empty(spark)).count() == 0
+
+
+# ---- near dedup
+
+
+def linked_components(data, size, percent=80):
+    sets = []
+    for _, t, *_ in data:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    parent = list(range(len(data)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(data)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    least = defaultdict(list)
+    for k, (i, *_) in enumerate(data):
+        least[root(k)].append(i)
+    return [(data[k][0], len(sets[k]), min((i for i in least[root(k)] if i is not None), default=None)) for k in range(len(data))]
+
+
+def near_family(n):
+    """A template and copies with more and more words changed: some link, some don't, some through others."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(150)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            w[at] = f"c{i}_{at}"
+        out.append((i, " ".join(w), "en", "s", 0, *(("x",) * 9)))
+    return out
+
+
+@pytest.mark.parametrize("data", [rows(), near_family(60)], ids=["awkward", "family"])
+def test_near_duplicates(spark, data, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    found = by_pair(minhash_dedup.near_duplicates(frame(spark, data), shingle=4), "doc_id", "n_shingles", "component_id")
+    assert found == sorted(linked_components(data, 4), key=order)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    found = {r.node: r.root for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_keep_one(spark):
+    docs = frame(spark)
+    kept = minhash_dedup.keep_one(docs, shingle=4)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 0 in ids and 1 not in ids and ids.count(20) == 1 and ids.count(7) == 0 and 6 in ids
+    assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+# ---- language model
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = {"▁": math.log(0.1), "▁a": math.log(0.2), "a": math.log(0.15), "b": math.log(0.05), "ab": math.log(0.3)}
+    model = lm_scoring.Lattice(pieces, [math.log(0.01)] * 256, 0.0)
+
+    def total(text):
+        return 1.0 if not text else sum(math.exp(s) * total(text[len(p) :]) for p, s in pieces.items() if text.startswith(p))
+
+    for word in ("a", "ab", "aab", "abab"):
+        assert math.exp(model.log_marginal(word)) == pytest.approx(total("▁" + word))
+    assert model.log_marginal("c") == pytest.approx(math.log(0.1) + math.log(0.01))
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 3])
+def test_scores(spark, frequent, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    found = lm_scoring.score(frame(spark), tokenizer_path("piece_bpe_32k.model")).collect()
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    counts = Counter()
+    for i, t, *_ in rows():
+        if not held(i):
+            counts.update([*lm_scoring.words_of(t), b""])
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, t, *_ in rows():
+        tokens = [*lm_scoring.words_of(t), b""]
+        want.append((i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)))
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in found), key=order)
+    for a, b in zip(got, sorted(want, key=order), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
+    assert all(r.score < 0 for r in found)
+    assert lm_scoring.score(empty(spark), tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
+# ---- packing
+
+
+def test_packing_places_each_id_once(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    encoder = token_counts.tokenizer(path)
+    found = packing.pack_documents(frame(spark), path, 256)
+    want = Counter()
+    for i, t, *_ in rows():
+        ids = np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for at in range(0, len(ids), 256):
+            piece = ids[at : at + 256]
+            want[i, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)] += 1
+    pieces = found.collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces) == want
+    places = defaultdict(list)
+    for r in pieces:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert sorted(places) == list(range(len(places)))
+    for spans in places.values():
+        spans.sort()
+        assert [a for a, _ in spans] == list(np.cumsum([0, *(n for _, n in spans)])[:-1]) and sum(n for _, n in spans) <= 256
+    whole = packing.sequences(frame(spark), found, path, 256).collect()
+    assert len(whole) == len(places) and sum(r.n_ids for r in whole) == sum(r.length for r in pieces)
+    assert all(len(r.ids) == 4 * (r.n_ids if r.n_ids & (r.n_ids - 1) == 0 else 256) for r in whole)
+    assert packing.pack_documents(empty(spark), path).count() == 0
+
+
+def test_cached_encoding_equals_the_library():
+    encoder = token_counts.tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    alphabet = ["a", "é", " ", " ", "\n", "\n", "'s", "12", "!?", "<|endoftext|>", "\t", "\xa0", "中", " ", "\r", "x" * 70]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 25))) for _ in range(4000)]
+    found = packing.encode_texts(encoder, {}, texts)
+    assert all(np.array(encoder.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == f for t, f in zip(texts, found, strict=True))
+
+
+def test_shortest_pack_first():
+    patterns = packing.shortest_pack_first({700: 3, 300: 2, 24: 5, 1024: 1}, 1024)
+    assert sum(n * len(p) for n, p in patterns) == 11 and all(sum(p) <= 1024 for _, p in patterns)
+    ranks = defaultdict(list)
+    for size, first, end, *_ in packing.pattern_places(patterns):
+        ranks[size] += range(first, end)
+    assert {s: sorted(r) for s, r in ranks.items()} == {700: [0, 1, 2], 300: [0, 1], 24: [0, 1, 2, 3, 4], 1024: [0]}
+
+
+# ---- toxicity
+
+
+def test_chain_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    train, test = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
+    chain = toxicity.fit(docs, train)
+    scored = toxicity.with_toxicity(docs, chain).join(test, "doc_id").select("toxic", F.col("_toxicity.toxic").alias("p")).collect()
+    right = sum((r.p >= 0.5) == bool(r.toxic) for r in scored) / len(scored)
+    clean = [r for r in scored if not r.toxic]
+    assert right > 0.95 and sum(r.p >= 0.5 for r in clean) / len(clean) < 0.01
+    again = toxicity.fit(docs, train)
+    assert again.words == chain.words and all(np.allclose(a, b) for a, b in zip(chain.weights, again.weights, strict=True))
+
+
+def test_chain_edges(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (1, None, 1), (None, 0, 1), (6, 0, 1), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(frame(spark), labels)
+    scored = toxicity.with_toxicity(frame(spark), chain).select("doc_id", "_toxicity.*").collect()
+    assert len(scored) == len(rows()) and all(0 <= r.toxic <= 1 for r in scored)
+    none = toxicity.fit(frame(spark), labels.limit(0))
+    assert toxicity.with_toxicity(empty(spark), none).count() == 0
+    assert all(0 <= r[0] <= 1 for r in toxicity.with_toxicity(frame(spark), none).select("_toxicity.toxic").collect())

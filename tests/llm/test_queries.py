@@ -1,0 +1,65 @@
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tandemlab.llm import exact_dedup, mixing, packing, quality, token_counts
+from tandemlab.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
+
+from test_operators import linked_components
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    found = QUERIES[name](spark, DIR).select(*want.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Filter, exact and near dedup, and the packed ids, stage by stage."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    good = [r for r in rows if quality_ok(r[1])]
+    last = {}
+    for r in good:
+        key = exact_dedup.normalise(r[1])
+        last[key] = max(last.get(key, r), r)
+    single = sorted(last.values())
+    kept = sorted(r[0] for r, (i, _, least) in zip(single, linked_components(single, 5), strict=True) if least == i)
+    stage = docs
+    for _, f in corpus_pipeline.STAGES[:3]:
+        stage = f(spark, stage, DIR)
+        assert stage.columns == docs.columns
+    assert sorted(r.doc_id for r in stage.collect()) == kept
+    taken = {r.doc_id: r.copies for r in mixing.mix(stage).collect()}
+    encoder = token_counts.tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in single:
+        if taken.get(r[0]):
+            ids = np.array([*encoder.encode(r[1], add_special_tokens=False).ids, 0], "<u4")
+            for at in range(0, len(ids), packing.LENGTH):
+                piece = ids[at : at + packing.LENGTH]
+                want[r[0], at, len(piece), zlib.crc32(piece.tobytes())] += taken[r[0]]
+    found = corpus_pipeline.run(spark, DIR)
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in found.collect()) == want
+
+
+def quality_ok(text):
+    names = [part.split()[0] for part in quality.MEASURES.split(", ")]
+    measured = dict(zip(names, quality.measure_text(text), strict=True))
+    return not any(eval(rule, {}, measured) for _, rule in quality.RULES)
+
+
+def test_pipeline_on_nothing(spark):
+    none = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        none = f(spark, none, DIR)
+    assert none.count() == 0
