@@ -45,13 +45,14 @@ def average_precision(df: DataFrame, score: str, label: str, keys: list[str] | N
 
 
 def mann_whitney(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
-    """u and z (tie and continuity corrected normal approximation)."""
+    """u and z (tie and continuity corrected normal approximation; null with one
+    class only or all scores equal)."""
     keys = keys or []
     sums = rank_sums(df, score, label, keys)
     n = F.col("n1") + F.col("n0")
-    variance = F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    variance = F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
     gap = F.col("u") - F.col("n1") * F.col("n0") / 2.0
-    z = F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.sqrt(variance)
+    z = F.signum(gap) * F.try_divide(F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), F.sqrt(F.when(variance > 0, variance)))
     return sums.select(*keys, "u", F.round(z, 6).alias("z"))
 
 

@@ -361,7 +361,7 @@ def st_ap(spark, sf_dir):
     return st.average_precision(scored(spark, sf_dir), "score", "label")
 
 
-@query(SCORE_SQL + "select lang, round(avg(pow(label - least(score / 5000.0, 1.0), 2)), 6) as brier, round(1 - sum(pow(label - least(score / 5000.0, 1.0), 2)) / sum(pow(label - m, 2)), 6) as r2 from (select *, avg(label) over (partition by lang) as m from o) group by lang")
+@query(SCORE_SQL + "select lang, round(avg(pow(label - least(score / 5000.0, 1.0), 2)), 6) as brier, round(1 - sum(pow(label - least(score / 5000.0, 1.0), 2)) / nullif(sum(pow(label - m, 2)), 0), 6) as r2 from (select *, avg(label) over (partition by lang) as m from o) group by lang")
 def st_brier(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("e", F.pow(F.col("label") - F.least(F.col("score") / 5000.0, F.lit(1.0)), F.lit(2)))
     mean = F.avg("label").over(Window.partitionBy("lang"))
@@ -379,7 +379,7 @@ def st_cohen_d(spark, sf_dir):
 
 @query(SCORE_SQL + """, r as (select lang, score, label, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2.0 as k, count(*) over (partition by lang, score) as c from o),
 u as (select lang, sum(k) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0 as u, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0, sum(c * c - 1.0) as ties from r group by lang)
-select lang, u, round(sign(u - n1 * n0 / 2.0) * greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1.0)))), 6) as z from u""")
+select lang, u, round(sign(u - n1 * n0 / 2.0) * greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / nullif((n1 + n0) * (n1 + n0 - 1.0), 0))), 0), 6) as z from u""")
 def st_mwu(spark, sf_dir):
     return st.mann_whitney(scored(spark, sf_dir), "score", "label", ["lang"])
 
