@@ -63,6 +63,16 @@ def worker_cache(name: str) -> dict:
     return store.__dict__.setdefault(name, {})
 
 
+def word_memory(name: str | None = None) -> dict:
+    """The worker's memory of words under this name. There is one at a time: a
+    task that asks for another, or for none, frees it, as workers are used again
+    by later stages that need the room."""
+    store = worker_cache("words")
+    for other in [k for k in store if k != name]:
+        del store[other]
+    return store.setdefault(name, {}) if name else {}
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -92,7 +102,7 @@ def numbered_copies(df: DataFrame, keys: list[str], chunk: int = 1024) -> DataFr
     return chunks.select(*keys, F.explode(F.sequence(first, last)).alias("copy"))
 
 
-def batches_by_bytes(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def batches_by_bytes(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most about `most` bytes of text each (a longer
     text comes alone)."""
     if not batch.num_rows:

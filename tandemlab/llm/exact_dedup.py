@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import cut, doc_key, packed
+from tandemlab.llm.common import cut, doc_key, packed, word_memory
 
 FIRST_DIGIT, GROWTH = 64, 8
 
@@ -31,6 +31,7 @@ def _digits(width: int, whole: bool):
     (which is only handed on, never compared)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_memory()
         for batch in batches:
             data = [normalise(text.as_py()) for text in batch.column(1)]
             columns = [batch.column(0), pa.array([x[:width] for x in data], pa.binary())]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, packed, run_hashes
+from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, packed, run_hashes, word_memory
 
 BANDS, ROWS = 40, 6
 #: A candidate goes on to the full sets if this share of its minima agree; at a
@@ -54,6 +54,7 @@ def _features(size: int, which: str):
     hashes = universal_hashes()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_memory()
         for batch in batches:
             for part in batches_by_bytes(batch, "text"):
                 table = WordTable(part.column("text"), lower=True)
@@ -235,6 +236,7 @@ def _crossing(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _meet(percent: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_memory()
         current, rows = None, []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "role", "node", "root", "n", "sketch")]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import batches_by_bytes, cut, numbered_copies, worker_cache
+from tandemlab.llm.common import batches_by_bytes, cut, numbered_copies, word_memory, worker_cache
 from tandemlab.llm.token_counts import tokenizer
 
 LENGTH = 1024
@@ -94,7 +94,7 @@ def _pieces(path: str, length: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 if with_ids else 5]
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, memory = tokenizer(path), worker_cache(f"ids of {path}")
+        encoder, memory = tokenizer(path), word_memory(f"ids of {path}")
         for batch in batches:
             for part in batches_by_bytes(batch, "text", 1 << 20):
                 which, rows = [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WHITE, packed
+from tandemlab.llm.common import WHITE, packed, word_memory
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_upper long"
 SYMBOLS = b"#*$%&|<>"
@@ -77,6 +77,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def _measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = [part.split()[0] for part in MEASURES.split(", ")]
+    word_memory()
     for texts in batches:
         rows = [measure_text(text.as_py()) for text in texts]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import batches_by_bytes, worker_cache
+from tandemlab.llm.common import batches_by_bytes, word_memory, worker_cache
 
 #: Texts over CHUNK characters are encoded in chunks that overlap by OVERLAP.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -100,7 +100,7 @@ def count_tokens(encoder, texts: list[str], chunk: int = CHUNK, overlap: int = O
 
 def _counting(path: str):
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, memory = tokenizer(path), worker_cache(f"counts of {path}")
+        encoder, memory = tokenizer(path), word_memory(f"counts of {path}")
         for column in batches:
             sizes, found = [], []
             for part in batches_by_bytes(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 19):
