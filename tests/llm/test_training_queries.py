@@ -9,7 +9,7 @@ import corpus_pipeline
 from tandemlab.llm import exact_dedup, mixing, packing, quality, token_counts
 from tandemlab.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
-from test_operators import linked_components
+from test_training_operators import linked_components
 
 DIR = "/root/testdata/sf0.001"
 
