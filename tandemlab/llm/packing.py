@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,61 +21,77 @@ LENGTH = 1024
 END_ID = 0
 #: Ranks are counted in so many parts per length, so that no length is one task.
 PARTS = 64
-#: The worker's memory of encoded words: entries, and the longest word kept.
-REMEMBERED, REMEMBERED_CHARS = 1_200_000, 64
+#: The worker's memory of encoded words: its bytes in all, and the longest word kept.
+REMEMBERED, REMEMBERED_BYTES = 64 << 20, 64
 #: Three white-space characters in a row, or two at the end or before what may be
 #: a special token (which ends the text as the tokenizer sees it): a byte-level
 #: tokenizer then looks beyond the place where the text would be cut.
 _AWKWARD = re.compile(r"\s\s(?:\s|$|<)")
-#: Words encoded in one call.
-TOGETHER = 2000
+#: Words encoded in one call, and about the bytes of text that are in work at once.
+TOGETHER, TEXT_BYTES = 256, 8 << 20
 
 
-def encode_texts(encoder, memory: dict[str, bytes], texts: list[str]) -> list[bytes]:
+def encode_texts(encoder, memory: dict[str, pa.Array], texts: list[str]) -> list[bytes]:
     """The ids of each text as little-endian 32-bit words.
 
     Texts are cut before every space and line feed. A byte-level tokenizer
     starts a new word there, whatever stands around it, unless white space runs
     on (_AWKWARD; such texts are encoded whole). Each distinct word, with the
-    space or line feed before it, is encoded once by the tokenizer."""
-    if len(memory) > REMEMBERED:
+    space or line feed before it, is encoded once by the tokenizer. Words stay
+    in Arrow arrays, those remembered from earlier texts too: it finds the
+    distinct ones, looks them up, and lays out their ids in text order."""
+    known_words, known_ids = memory.get("words", pa.array([], pa.string())), memory.get("ids", pa.array([], pa.large_binary()))
+    whole = [_AWKWARD.search(text) is not None for text in texts]
+    column = pa.array(["" if w else text for text, w in zip(texts, whole, strict=True)], pa.string())
+    cuts = pa.compute.split_pattern(pa.compute.replace_substring(column, "\n", " \n"), " ")
+    coded, first = cuts.values.dictionary_encode(), cuts.offsets.to_numpy()
+    places = pa.compute.index_in(coded.dictionary, value_set=known_words).fill_null(-1).to_numpy().copy()
+    missing = np.flatnonzero(places < 0)
+    order, new_ids = _encode_words(encoder, coded.dictionary.take(pa.array(missing)))
+    places[missing[order]] = len(known_words) + np.arange(len(missing))
+    # nothing stands before a text's first word: it, or an awkward text, has ids of its own
+    firsts = coded.dictionary.take(coded.indices.take(pa.array(first[:-1]))).to_pylist()
+    heads = [text if w else word for text, w, word in zip(texts, whole, firsts, strict=True)]
+    own = pa.array([array("I", got.ids).tobytes() for got in encoder.encode_batch_fast(heads, add_special_tokens=False)], pa.large_binary())
+    codes = places[coded.indices.to_numpy()]
+    codes[first[:-1]] = len(known_words) + len(missing) + np.arange(len(texts))
+    laid = pa.concat_arrays([known_ids, new_ids, own]).take(pa.array(codes))
+    bounds, raw = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)[first].tolist(), laid.buffers()[2]
+    new_words = coded.dictionary.take(pa.array(missing[order]))
+    short = pa.compute.less_equal(pa.compute.binary_length(new_words), REMEMBERED_BYTES)
+    memory["words"] = pa.concat_arrays([known_words, new_words.filter(short)])
+    memory["ids"] = pa.concat_arrays([known_ids, new_ids.filter(short)])
+    if memory["words"].nbytes + memory["ids"].nbytes > REMEMBERED:
         memory.clear()
-    cuts = [None if _AWKWARD.search(text) else text.replace("\n", " \n").split(" ") for text in texts]
-    missing = set().union(*(words[1:] for words in cuts if words)).difference(memory)
-    _remember(encoder, memory, missing)
-    firsts = [text if words is None else words[0] for text, words in zip(texts, cuts, strict=True)]
-    heads = (array("I", got.ids).tobytes() for got in encoder.encode_batch_fast(firsts, add_special_tokens=False))
-    known = memory.__getitem__
-    out = [head if words is None else head + b"".join(map(known, words[1:])) for head, words in zip(heads, cuts, strict=True)]
-    for word in missing:
-        if len(word) > REMEMBERED_CHARS:
-            del memory[word]
-    return out
-
-
-def _remember(encoder, memory: dict[str, bytes], missing: set[str]) -> None:
-    """Encode the missing words. Those that begin with one space or line feed
-    and hold no other are encoded many in a call, and their ids told apart by
-    the only tokens that begin with that character; the others one by one."""
-    marks = _marks(encoder)
-    groups: dict[str, list[str]] = {" ": [], "\n": []}
-    for word in missing:
-        body = word[1:] if word[:1] == "\n" else word
-        if body and not body[0].isspace() and not body[-1].isspace():
-            groups["\n" if body is not word else " "].append(word)
-        else:
-            text = word if word[:1] == "\n" else " " + word
-            memory[word] = array("I", encoder.encode(text, add_special_tokens=False).ids).tobytes()
-    for mark, words in groups.items():
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
+    return [raw[a:b].to_pybytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _encode_words(encoder, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(order, the ids of the words in that order). Words that begin with one
+    space or line feed and hold no other at either end are encoded many in a
+    call, and their ids told apart by the only tokens that begin with that
+    character; the others one by one."""
+    broken = pa.compute.starts_with(words, "\n")
+    body = pa.compute.utf8_slice_codeunits(words, 1)
+    body = pa.compute.if_else(broken, body, words)
+    plain = pa.compute.and_(pa.compute.equal(pa.compute.utf8_trim_whitespace(body), body), pa.compute.not_equal(body, ""))
+    plain, broken = plain.to_numpy(zero_copy_only=False), broken.to_numpy(zero_copy_only=False)
+    groups = {" ": np.flatnonzero(plain & ~broken), "\n": np.flatnonzero(plain & broken)}
+    others = np.flatnonzero(~plain)
+    found = []
+    for mark, which in groups.items():
+        for at in range(0, len(which), TOGETHER):
+            part = words.take(pa.array(which[at : at + TOGETHER])).to_pylist()
             text = "".join(part) if mark == "\n" else " " + " ".join(part)
             ids = np.array(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(marks[mark][ids])
+            starts = np.flatnonzero(_marks(encoder)[mark][ids])
             if len(starts) != len(part):
                 raise ValueError(f"the tokenizer doesn't start words at {mark!r}")
-            raw, bounds = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
-            memory.update(zip(part, [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+            bounds = np.append(starts, len(ids)) * 4
+            found.append(pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(bounds), pa.py_buffer(ids)]))
+    single = [word if word[:1] == "\n" else " " + word for word in words.take(pa.array(others)).to_pylist()]
+    found.append(pa.array([array("I", encoder.encode(text, add_special_tokens=False).ids).tobytes() for text in single], pa.large_binary()))
+    return np.concatenate([*groups.values(), others]), pa.concat_arrays(found)
 
 
 def _marks(encoder) -> dict[str, np.ndarray]:
@@ -96,7 +113,7 @@ def _pieces(path: str, length: int, with_ids: bool):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, memory = tokenizer(path), word_memory(f"ids of {path}")
         for batch in batches:
-            for part in batches_by_bytes(batch, "text", 1 << 20):
+            for part in batches_by_bytes(batch, "text", TEXT_BYTES):
                 which, rows = [], []
                 for d, ids in enumerate(encode_texts(encoder, memory, [t or "" for t in part.column("text").to_pylist()])):
                     ids += END_ID.to_bytes(4, "little")
@@ -108,6 +125,7 @@ def _pieces(path: str, length: int, with_ids: bool):
                 columns = list(zip(*rows, strict=True))
                 made = [pa.array(c, pa.int64()) for c in columns[:4]] + ([pa.array(columns[4], pa.binary())] if with_ids else [])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(which)), *made], names)
+                pa.default_memory_pool().release_unused()
 
     return cut_up
 
