@@ -71,9 +71,10 @@ def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    cut = chain.cuts[chain.categories.index("toxic")]
     scored = toxicity.with_toxicity(docs.select("doc_id", "text"), chain)
     return scored.select(
-        "doc_id", *(F.round(f"_toxicity.{c}", 6).alias(f"p_{c}") for c in chain.categories), (F.col("_toxicity.toxic") >= 0.5).alias("toxic")
+        "doc_id", *(F.round(f"_toxicity.{c}", 6).alias(f"p_{c}") for c in chain.categories), (F.col("_toxicity.toxic") >= cut).alias("toxic")
     )
 
 

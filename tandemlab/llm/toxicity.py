@@ -1,9 +1,8 @@
-"""Toxicity by a classifier chain of linear models over word features."""
+"""Toxicity by a classifier chain of linear models over words and their beginnings."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +12,13 @@ from pyspark.sql import functions as F
 
 #: At most this many labelled documents are used to fit, those with the least hash of their id.
 FIT_ROWS = 16_384
-N_FEATURES, FOLDS, RIDGE = 256, 5, 1.0
-#: Words of fewer documents of the fit than this are no features.
+FOLDS, RIDGE = 5, 1.0
+#: Words and beginnings of fewer documents of the fit than this are no features; all others are.
 LEAST_DOCUMENTS = 4
+#: Bytes of the beginnings that are features besides whole words, so that inflected forms share weight.
+BEGINNINGS = (4, 5, 6)
+#: A worker remembers the features of so many words.
+WORDS_KEPT = 100_000
 #: The chain, in order: earlier categories inform later ones.
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 
@@ -27,16 +30,24 @@ def terms(text: str | None) -> set[bytes]:
     return set((text or "").encode("utf-8", "surrogatepass").lower().translate(_SPACE_OUT).split())
 
 
+def features_of(word: bytes) -> list[bytes]:
+    """The word and its beginnings; b"*" is in no word, so the two never meet."""
+    return [word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) > k)]
+
+
 @dataclass
 class Chain:
-    """weights[k] belongs to category k: bias, earlier categories' probabilities, words."""
+    """weights[k] belongs to category k: bias, earlier categories' probabilities,
+    features. cuts[k] is the probability from which on a document is said to be
+    of category k."""
 
     categories: tuple[str, ...]
     words: dict[bytes, int]
     weights: list[np.ndarray]
+    cuts: tuple[float, ...]
 
     def probabilities(self, found: list[list[int]]) -> np.ndarray:
-        """found: per document the places of its feature words. One column per category."""
+        """found: per document the places of its features. One column per category."""
         earlier = np.zeros((len(found), 0))
         for weights in self.weights:
             k = earlier.shape[1]
@@ -50,65 +61,158 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
-    """Bias and weights by Newton's method with an L2 penalty; with one class
-    only, a bias alone."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.zeros(x.shape[1] + 1)
+class Rows:
+    """A sparse 0/1 matrix: per document the places of its features, and per
+    feature its documents. Products are sums over runs, a part at a time, so that
+    what they hold for a while stays small."""
+
+    def __init__(self, found: list[np.ndarray], width: int):
+        self.n, self.width = len(found), width
+        lengths = np.array([len(x) for x in found], np.int64)
+        at = np.concatenate([*found, np.zeros(0, np.int32)])
+        document = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
+        self.by_document = _parts(at, lengths)
+        self.by_feature = _parts(document[np.argsort(at, kind="stable")], np.bincount(at, minlength=width))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return _sums(self.by_document, w, self.n)
+
+    def turned(self, r: np.ndarray) -> np.ndarray:
+        """The transposed matrix times r."""
+        return _sums(self.by_feature, r, self.width)
+
+
+def _parts(at: np.ndarray, lengths: np.ndarray, size: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs that are not empty, in parts of about `size`: the places in them, where each run starts, whose it is."""
+    whose = np.flatnonzero(lengths)
+    ends = np.cumsum(lengths[whose])
+    out, a = [], 0
+    while a < len(whose):
+        start = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, start + size, "right")))
+        out.append((at[start : ends[b - 1]].astype(np.intp), np.concatenate([[0], ends[a : b - 1] - start]).astype(np.intp), whose[a:b]))
+        a = b
+    return out
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for at, starts, whose in parts:
+        out[whose] = np.add.reduceat(values.take(at), starts)
+    return out
+
+
+def fit_logistic(rows: Rows, earlier: np.ndarray, y: np.ndarray, used: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
+    """Bias, weights of `earlier` and of the features, from the documents where
+    `used` is 1: Newton's method by conjugate gradients with an L2 penalty; with
+    one class only, a bias alone. Before the penalty, features are scaled by the
+    absolute log ratio of their rates in the two classes, so that the many which
+    tell nothing can't drown the few which do."""
+    k, n, hits = earlier.shape[1], used.sum(), (used * y).sum()
+    w = np.zeros(1 + k + rows.width)
+    share = (hits + 0.5) / (n + 1)
     w[0] = np.log(share / (1 - share))
-    if y.min(initial=1) == y.max(initial=0):
+    if hits in (0, n):
         return w
-    design = np.column_stack([np.ones(len(x)), x])
+    inside, total = rows.turned(used * y), rows.turned(used)
+    scale = np.abs(np.log((inside + 1) / (hits + 2)) - np.log((total - inside + 1) / (n - hits + 2)))
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
+
+    def times(v):
+        return v[0] + earlier @ v[1 : 1 + k] + rows.dot(v[1 + k :] * scale)
+
+    def back(r):
+        return np.concatenate([[r.sum()], earlier.T @ r, scale * rows.turned(r)])
+
+    def loss(w, z):
+        return (used * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2
+
+    z = times(w)
+    now, first = loss(w, z), None
     for _ in range(steps):
-        p = _sigmoid(design @ w)
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
-        step = np.linalg.solve(hessian, design.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-4:
+        p = _sigmoid(z)
+        left = back(used * (y - p)) - penalty * w
+        size = left @ left
+        first = first or size
+        if size <= 1e-6 * first:
+            break
+        step, way, until = np.zeros(len(w)), left.copy(), 0.01 * size
+        for _ in range(60):
+            bent = back(used * p * (1 - p) * times(way)) + penalty * way
+            far = size / (way @ bent)
+            step += far * way
+            left = left - far * bent
+            size, before = left @ left, size
+            if size <= until:
+                break
+            way = left + size / before * way
+        moved = times(step)
+        while (then := loss(w + step, z + moved)) > now and np.abs(step).max() > 1e-6:
+            step, moved = step / 2, moved / 2
+        if then > now:
             break
+        w, z, now = w + step, z + moved, then
+    w[1 + k :] *= scale
     return w
 
 
-def choose_words(documents: list[list[bytes]], y: np.ndarray, n: int = N_FEATURES) -> dict[bytes, int]:
-    """The words whose presence separates some category best, by the z score of
-    two proportions; ties by the word."""
-    total, hits = Counter(), [Counter() for _ in range(y.shape[1])]
-    for words, labels in zip(documents, y, strict=True):
-        total.update(words)
-        for k in np.flatnonzero(labels):
-            hits[k].update(words)
-    rates, size = y.mean(axis=0), len(documents)
-    ranked = []
-    for word, count in total.items():
-        if count >= LEAST_DOCUMENTS:
-            spread = [max(r * (1 - r), 1e-9) * count * (1 - count / (size + 1)) for r in rates]
-            z = max(abs(hits[k][word] - count * rates[k]) / (spread[k] ** 0.5 + 0.5) for k in range(y.shape[1]))
-            ranked.append((-z, word))
-    return {word: k for k, (_, word) in enumerate(sorted(ranked)[:n])}
-
-
-def fit_chain(documents: list[list[bytes]], y: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on saying yes gives the best F1, half-way to
+    the next lower one; of equally good ones the highest. 0.5 with one class only."""
+    if len(y) == 0 or y.min() == y.max():
+        return 0.5
+    values, at = np.unique(-p, return_inverse=True)
+    said = np.cumsum(np.bincount(at))
+    right = np.cumsum(np.bincount(at, y))
+    best = int(np.argmax(2 * right / (said + y.sum())))
+    return float(-(values[best] + values[min(best + 1, len(values) - 1)]) / 2)
+
+
+def numbered(documents: Iterable[list[bytes]]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """All features of enough documents by place, in order of their bytes, and
+    each document's places."""
+    known: dict[bytes, int] = {}
+    ids: dict[bytes, list[int]] = {}
+    found = []
+    for words in documents:
+        own: set[int] = set()
+        for word in words:
+            if word not in ids:
+                ids[word] = [known.setdefault(f, len(known)) for f in features_of(word)]
+            own.update(ids[word])
+        found.append(np.fromiter(sorted(own), np.int32, len(own)))
+    del ids
+    counts = np.zeros(len(known), np.int64)
+    for own in found:
+        counts[own] += 1
+    chosen = sorted(f for f, k in known.items() if counts[k] >= LEAST_DOCUMENTS)
+    place = np.full(len(known), -1, np.int32)
+    place[[known[f] for f in chosen]] = np.arange(len(chosen))
+    for k, own in enumerate(found):
+        at = place[own]
+        found[k] = np.sort(at[at >= 0])
+    return {f: k for k, f in enumerate(chosen)}, found
+
+
+def fit_chain(documents: Iterable[list[bytes]], y: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
     """documents: the terms of each; y: a 0/1 column per category. Each link is
-    fitted on the words and on out-of-fold probabilities of the earlier links,
-    so that it sees earlier outputs as good as those it will get later on."""
-    words = choose_words(documents, y)
-    x = np.zeros((len(documents), len(words)))
-    for row, own in enumerate(documents):
-        x[row, [words[w] for w in own if w in words]] = 1
-    fold, weights = np.arange(len(documents)) % folds, []
-    earlier = np.zeros((len(documents), 0))
+    fitted on the features and on out-of-fold probabilities of the earlier links,
+    so that it sees earlier outputs as good as those it will get later on. Those
+    probabilities also set the link's cut."""
+    words, found = numbered(documents)
+    rows = Rows(found, len(words))
+    fold, weights, cuts = np.arange(rows.n) % folds, [], []
+    earlier = np.zeros((rows.n, 0))
     for k in range(y.shape[1]):
-        inputs = np.column_stack([earlier, x])
-        out = np.zeros(len(documents))
+        out = np.zeros(rows.n)
         for f in range(folds):
-            held = fold == f
-            w = fit_logistic(inputs[~held], y[~held, k])
-            out[held] = _sigmoid(w[0] + inputs[held] @ w[1:])
-        weights.append(fit_logistic(inputs, y[:, k]))
+            w = fit_logistic(rows, earlier, y[:, k], (fold != f).astype(float))
+            out = np.where(fold == f, _sigmoid(w[0] + earlier @ w[1 : 1 + k] + rows.dot(w[1 + k :])), out)
+        weights.append(fit_logistic(rows, earlier, y[:, k], np.ones(rows.n)))
+        cuts.append(best_cut(out, y[:, k]))
         earlier = np.column_stack([earlier, out])
-    return Chain(categories, words, weights)
+    return Chain(categories, words, weights, tuple(cuts))
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +232,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = source.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text")
     table = sample.mapInArrow(_terms_of, "doc_id long, quality int, toxic int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
     low, toxic = 1 - np.asarray(table.column("quality"), float), np.asarray(table.column("toxic"), float)
-    documents = [x.split(b" ") if x else [] for x in table.column("terms").to_pylist()]
-    return fit_chain(documents, np.column_stack([low, toxic, low * toxic]).reshape(len(documents), 3))
+    documents = (x.as_py().split() for x in table.column("terms"))
+    return fit_chain(documents, np.column_stack([low, toxic, low * toxic]).reshape(len(low), 3))
 
 
 def _classified(chain: Chain):
     def classified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory: dict[bytes, list[int]] = {}
+
+        def places(text: str | None) -> list[int]:
+            own: set[int] = set()
+            for word in terms(text):
+                if word not in memory:
+                    if len(memory) >= WORDS_KEPT:
+                        memory.clear()
+                    memory[word] = [chain.words[f] for f in features_of(word) if f in chain.words]
+                own.update(memory[word])
+            return sorted(own)
+
         for column in batches:
-            found = [sorted(chain.words[w] for w in terms(text.as_py()) if w in chain.words) for text in column]
+            found = [places(text.as_py()) for text in column]
             p = chain.probabilities(found)
             yield pa.StructArray.from_arrays([pa.array(p[:, k], pa.float64()) for k in range(p.shape[1])], list(chain.categories))
 

@@ -370,6 +370,25 @@ def test_chain_on_held_out_documents(spark):
     assert again.words == chain.words and all(np.allclose(a, b) for a, b in zip(chain.weights, again.weights, strict=True))
 
 
+def test_chain_finds_toxic_documents_of_each_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    chain = toxicity.fit(docs, labels.where("doc_id % 4 <> 0"))
+    p = F.col("_toxicity.toxic") >= chain.cuts[chain.categories.index("toxic")]
+    scored = toxicity.with_toxicity(docs, chain).join(labels.where("doc_id % 4 = 0"), "doc_id").select("lang", "toxic", p.alias("said")).collect()
+    for lang in ("en", "es", "de", "fr"):
+        toxic = [r.said for r in scored if r.lang == lang and r.toxic]
+        assert toxic and sum(toxic) >= 0.85 * len(toxic), (lang, sum(toxic), len(toxic))
+    clean = [r.said for r in scored if not r.toxic]
+    assert sum(clean) < 0.01 * len(clean)
+
+
+def test_cut_is_the_best_f1():
+    p, y = np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 0, 1, 1])
+    assert toxicity.best_cut(p, y) == 0.25
+    assert toxicity.best_cut(p, y * 0) == 0.5 and toxicity.best_cut(p[:0], y[:0]) == 0.5
+
+
 def test_chain_edges(spark):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, 1), (None, 0, 1), (6, 0, 1), (6, 0, 1)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit(frame(spark), labels)
