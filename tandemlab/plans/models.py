@@ -15,10 +15,10 @@ from tandemlab.sources.adapters import read, samples
 from tandemlab.streaming import markers
 
 
-def feature_table(spark, sf_dir, width: int = 64) -> DataFrame:
+def feature_table(spark, sf_dir) -> DataFrame:
     """(vec_id, dyad, features, label): forty groups."""
     rows = read(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", (F.col("vec_id") % 40).alias("dyad"), F.slice("embedding", 1, width).cast("array<double>").alias("features"), (F.col("label") < 5).cast("int").alias("label"))
+    return rows.select("vec_id", (F.col("vec_id") % 40).alias("dyad"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") < 5).cast("int").alias("label"))
 
 
 def pooled(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def ml_cv(spark, sf_dir):
 
 @query()
 def ml_leave_one_group_out(spark, sf_dir):
-    table = feature_table(spark, sf_dir, 16)
+    table = feature_table(spark, sf_dir)
     folds = learn.fold_table(spark, table, "dyad", 0, [0])
     return pooled(learn.cross_validate(table, folds, "dyad", "vec_id", "features", "label", "knn"), ["seed"])
 
@@ -57,19 +57,19 @@ def ml_ablation(spark, sf_dir):
 
 @query()
 def ml_importance(spark, sf_dir):
-    table = feature_table(spark, sf_dir, 4)
+    table = feature_table(spark, sf_dir)
     folds = learn.fold_table(spark, table, "dyad", 5, [0])
-    return learn.permutation_importance(table, folds, "dyad", "vec_id", "features", "label", [0, 1, 2, 3], lambda found: pooled(found, []))
+    return learn.permutation_importance(table, folds, "dyad", "vec_id", "features", "label", list(range(64)), pooled)
 
 
 @query()
 def ml_kmeans(spark, sf_dir):
-    return learn.kmeans(feature_table(spark, sf_dir, 16), "features", 4).select("vec_id", "cluster")
+    return learn.kmeans(feature_table(spark, sf_dir), "features", 4).select("vec_id", "cluster")
 
 
 @query()
 def ml_pca(spark, sf_dir):
-    rows, _ = learn.principal(feature_table(spark, sf_dir, 16), "features", 2)
+    rows, _ = learn.principal(feature_table(spark, sf_dir), "features", 2)
     return rows.select("vec_id", *(F.round(F.get("pc", F.lit(k)), 5).alias(f"pc{k + 1}") for k in range(2)))
 
 

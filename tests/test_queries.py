@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -58,3 +59,24 @@ def test_imports_without_the_training_data_part(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and e.oracle_sql() and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_models_read_all_dimensions(spark, tmp_path):
+    """The label lies in dimensions 16 and up; those before are noise."""
+    rng = np.random.default_rng(3)
+    label = np.arange(400) // 40
+    x = rng.normal(size=(400, 64))
+    x[:, 16:] += 2 * np.where(label < 5, 1, -1)[:, None]
+    frame = pd.DataFrame({"vec_id": np.arange(400), "embedding": x.astype(np.float32).tolist(), "label": label.astype(np.int32)})
+    spark.createDataFrame(frame, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = str(tmp_path)
+    assert all(r.auc > 0.99 for r in QUERIES["ml_leave_one_group_out"](spark, at).collect())
+    sides = {}
+    for r in QUERIES["ml_kmeans"](spark, at).collect():
+        sides.setdefault(r.cluster, set()).add(bool(label[r.vec_id] < 5))
+    assert all(len(v) == 1 for v in sides.values())
+    found = QUERIES["ml_pca"](spark, at).orderBy("vec_id").toPandas()
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    want = z @ np.linalg.svd(z, full_matrices=False)[2][0]
+    assert np.allclose(np.abs(found.pc1), np.abs(want), atol=1e-3)
+    assert sorted(r.feature for r in QUERIES["ml_importance"](spark, at).collect()) == list(range(64))
