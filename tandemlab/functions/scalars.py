@@ -22,9 +22,10 @@ def to_bool(x: Column) -> Column:
     return F.when(text.isin("true", "1", "yes"), 1).when(text.isin("false", "0", "no"), 0)
 
 
-def trial_number(x: Column) -> Column:
-    """'T01', '1' or 1 to 1; null otherwise."""
-    return F.regexp_replace(x.cast("string"), "^[Tt]", "").try_cast("int")
+def trial_label(x: Column) -> Column:
+    """'T01', '1' or 1 to '1'; other text without its leading T as it is, null as ''."""
+    text = F.regexp_replace(F.trim(F.coalesce(x.cast("string"), F.lit(""))), "^[Tt]", "")
+    return F.coalesce(text.try_cast("int").cast("string"), text)
 
 
 def normal_id(x: Column) -> Column:
@@ -38,19 +39,26 @@ def iso_time(ms: Column) -> Column:
 
 
 def filetime_ms(ticks: Column) -> Column:
-    """100-ns ticks since 1601 to epoch milliseconds."""
-    return F.floor(ticks / F.lit(10000)).cast("long") - F.lit(11644473600000)
+    """100-ns ticks since 1601 (a long) to epoch milliseconds, by whole-number division."""
+    return F.call_function("div", ticks, F.lit(10000)) - F.lit(11644473600000)
 
 
-#: Fixed screen rectangles, first match wins: name, x1, y1, x2, y2 (closed).
-AREAS = (("timer", 0, 0, 120, 120), ("map", 100, 100, 300, 700), ("toolbar", 280, 0, 420, 900))
+#: Screen rectangles of each role, first match wins: name, x1, y1, x2, y2 (closed).
+AREAS = {
+    "director": (("timer", 613, 8, 735, 65), ("map", 640, 166, 1120, 831), ("toolbar", 236, 0, 1018, 74)),
+    "matcher": (("timer", 613, 8, 735, 65), ("map", 560, 166, 1040, 831), ("toolbar", 236, 0, 1365, 74)),
+}
 
 
-def area_of(x: Column, y: Column, areas=AREAS) -> Column:
+def area_of(x: Column, y: Column, role: Column, areas: dict = AREAS) -> Column:
+    """Name of the area of a role's screen; unknown roles see the director's."""
     out = F.when(x.isNull() | y.isNull(), "missing")
-    for name, x1, y1, x2, y2 in areas:
-        out = out.when(x.between(x1, x2) & y.between(y1, y2), name)
-    return out.otherwise("other")
+    for who in sorted(areas, key=lambda who: who == "director"):
+        own = F.lit(True) if who == "director" else role.eqNullSafe(F.lit(who))
+        for name, x1, y1, x2, y2 in areas[who]:
+            out = out.when(own & x.between(x1, x2) & y.between(y1, y2), name)
+        out = out.when(own, "other")
+    return out
 
 
 def to_map(x: Column, y: Column, area=(100, 100, 300, 700), width: int = 651, height: int = 900) -> tuple[Column, Column]:
@@ -73,6 +81,11 @@ def ibi(bpm: Column) -> Column:
     return F.when(bpm > 0, 60000 / bpm)
 
 
+def shifted(t: Column, offset: Column) -> Column:
+    """t + offset, rounded half to even; times that are no numbers stay as they are."""
+    return F.when(offset == 0, t).otherwise(F.bround(t + offset).cast("long"))
+
+
 def heading(dx: Column, dy: Column) -> Column:
     return F.degrees(F.atan2(dy, dx))
 

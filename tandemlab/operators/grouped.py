@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def welch(x: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +95,135 @@ def raster(strokes: list[tuple[str, float, np.ndarray]], width: int, height: int
     return mask
 
 
+def distance_transform(mask: np.ndarray) -> np.ndarray:
+    """Euclidean distance of every cell to the nearest set cell (inf without one).
+
+    Separable: first along rows, then the least of (dy^2 + row distance^2) over
+    the rows that hold set cells."""
+    height, width = mask.shape
+    place = np.arange(width)
+    before = np.maximum.accumulate(np.where(mask, place, -(1 << 30)), axis=1)
+    behind = np.minimum.accumulate(np.where(mask, place, 1 << 30)[:, ::-1], axis=1)[:, ::-1]
+    along = np.minimum(place - before, behind - place).astype(float) ** 2
+    out = np.full(mask.shape, np.inf)
+    rows = np.arange(height)
+    for y in np.flatnonzero(mask.any(axis=1)):
+        np.minimum(out, ((rows - y) ** 2)[:, None] + along[y], out=out)
+    return np.sqrt(out)
+
+
+def boundary_of(mask: np.ndarray) -> np.ndarray:
+    """Set cells at the image's border or with an unset cell around them."""
+    inner = np.zeros_like(mask)
+    inner[1:-1, 1:-1] = True
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            inner[1:-1, 1:-1] &= mask[1 + dy : mask.shape[0] - 1 + dy, 1 + dx : mask.shape[1] - 1 + dx]
+    return mask & ~inner
+
+
+def global_ssim(a: np.ndarray, b: np.ndarray) -> float:
+    """Structural similarity of two masks as 0/255 images, over the whole image."""
+    x, y = a.astype(float) * 255, b.astype(float) * 255
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    mx, my = x.mean(), y.mean()
+    return float((2 * mx * my + c1) * (2 * ((x - mx) * (y - my)).mean() + c2) / ((mx**2 + my**2 + c1) * (x.var() + y.var() + c2)))
+
+
+def mask_distances(cells: DataFrame, keys: list[str], kinds: str, side: str, sides: tuple[str, str]) -> DataFrame:
+    """cells: (keys, side, px, py), the set cells of two drawings a group. Their
+    chamfer and Hausdorff distance, from a distance transform each: work grows
+    with the frame around both, not with pairs of cells. Groups with one drawing
+    are left out."""
+
+    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf.px - pdf.px.min()).to_numpy(), (pdf.py - pdf.py.min()).to_numpy()
+        masks = []
+        for name in sides:
+            mask = np.zeros((y.max() + 1, x.max() + 1), bool)
+            own = (pdf[side] == name).to_numpy()
+            mask[y[own], x[own]] = True
+            masks.append(mask)
+        if not all(m.any() for m in masks):
+            return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "chamfer": [], "hausdorff": []})
+        away = [distance_transform(masks[1])[masks[0]], distance_transform(masks[0])[masks[1]]]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "chamfer": [round((away[0].mean() + away[1].mean()) / 2, 6)], "hausdorff": [round(max(away[0].max(), away[1].max()), 6)]})
+
+    return cells.groupBy(*keys).applyInPandas(measured, f"{kinds}, chamfer double, hausdorff double")
+
+
+def inversions(values: np.ndarray) -> int:
+    """Pairs i < j with values[i] > values[j], by merging sorted halves."""
+    total, width = 0, 1
+    values = values.copy()
+    while width < len(values):
+        for at in range(0, len(values) - width, 2 * width):
+            left, right = values[at : at + width], values[at + width : at + 2 * width]
+            total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+            values[at : at + 2 * width] = np.sort(values[at : at + 2 * width])
+        width *= 2
+    return total
+
+
+def kendall_tau(x: np.ndarray, t: np.ndarray) -> float | None:
+    """tau-b; None where either is constant. In order of t, then x, discordant
+    pairs are inversions of x (rows of one t are in order, hence none)."""
+    n = len(x)
+    pairs = n * (n - 1) // 2
+    ties = lambda *columns: int((lambda c: (c * (c - 1) // 2).sum())(np.unique(np.column_stack(columns), axis=0, return_counts=True)[1]))
+    tx, tt, both = ties(x), ties(t), ties(x, t)
+    discordant = inversions(x[np.lexsort((x, t))])
+    spread = float(pairs - tx) * float(pairs - tt)
+    return (pairs - tx - tt + both - 2 * discordant) / np.sqrt(spread) if spread > 0 else None
+
+
+def rank_correlations(rows: DataFrame, keys: list[str], kinds: str, x: str, t: str) -> DataFrame:
+    """tau of (keys, x, t), one group a recording."""
+
+    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = kendall_tau(pdf[x].to_numpy(), pdf[t].to_numpy())
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "tau": [None if found is None else round(found, 6) + 0.0]})
+
+    return rows.groupBy(*keys).applyInPandas(tau, f"{kinds}, tau double")
+
+
+#: Rows of one block of vectors.
+BLOCK = 1024
+
+
+def silhouettes(rows: DataFrame, ident: str, cluster: str, vector: str) -> DataFrame:
+    """(ident, cluster, a, b): mean Euclidean distance to the own cluster's other
+    rows, and the least mean distance to another's. Rows are dealt into blocks;
+    each pair of blocks meets in a task of its own, which hands on one sum per
+    row and cluster."""
+    spark_rows = rows.select(ident, cluster, F.col(vector).cast("array<double>").alias("_v"))
+    blocks = rows.agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("_blocks"))
+    dealt = spark_rows.crossJoin(F.broadcast(blocks)).withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_blocks")))  # one row
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    left = dealt.select("*", every.alias("_to")).select(F.col("_own").alias("_x"), F.col("_to").alias("_y"), F.lit(True).alias("_left"), ident, cluster, "_v")
+    right = dealt.select("*", every.alias("_to")).select(F.col("_to").alias("_x"), F.col("_own").alias("_y"), F.lit(False).alias("_left"), ident, cluster, "_v")
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf._left], pdf[~pdf._left]
+        out = []
+        if len(a) and len(b):
+            other = np.stack(b._v.to_numpy())
+            for at in range(0, len(a), 128):
+                part = a.iloc[at : at + 128]
+                far = np.sqrt(((np.stack(part._v.to_numpy())[:, None, :] - other[None]) ** 2).sum(axis=2))
+                for c in np.unique(b[cluster]):
+                    own = (b[cluster] == c).to_numpy()
+                    same = (part[ident].to_numpy()[:, None] == b[ident].to_numpy()[own][None]).sum(axis=1)
+                    out.append(pd.DataFrame({ident: part[ident], cluster: part[cluster], "_c": c, "_s": far[:, own].sum(axis=1), "_n": own.sum() - same}))
+        return pd.concat(out) if out else pd.DataFrame({ident: [], cluster: [], "_c": [], "_s": [], "_n": []}).astype("int64")
+
+    kinds = dict(rows.dtypes)
+    found = left.unionAll(right).groupBy("_x", "_y").applyInPandas(sums, f"{ident} {kinds[ident]}, {cluster} {kinds[cluster]}, _c {kinds[cluster]}, _s double, _n long")
+    means = found.groupBy(ident, cluster, "_c").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).withColumn("_m", F.try_divide("_s", "_n"))
+    own = F.col("_c") == F.col(cluster)
+    return means.groupBy(ident, cluster).agg(F.max(F.when(own, F.col("_m"))).alias("a"), F.min(F.when(~own, F.col("_m"))).alias("b"))
+
+
 def hrv_frequency(series: DataFrame, key: str) -> DataFrame:
     """series: (key, i, ibi), one group a person's recording."""
 

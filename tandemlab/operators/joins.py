@@ -29,12 +29,14 @@ def first_interval(points: DataFrame, spans: DataFrame, keys: list[str], t: str,
     return picked.select(ident, F.coalesce(F.col(f"_first.{label}"), F.lit("none")).alias(label))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, tolerance: int, ident: str) -> DataFrame:
-    """(ident, t, near_t, value): the row of right nearest in time, the earlier
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str | list[str], tolerance: int, ident: str) -> DataFrame:
+    """(ident, t, near_t, values): the row of right nearest in time, the earlier
     one on ties, null beyond tolerance. One shuffle: both sides are stacked and
     looked at backward and forward. right's times are unique per key."""
-    stacked = left.select(*keys, t, F.col(ident), F.lit(None).cast("double").alias("_v"), F.lit(0).alias("_r")).unionAll(
-        right.select(*keys, t, F.lit(None).cast("long").alias(ident), F.col(value).cast("double").alias("_v"), F.lit(1).alias("_r"))
+    values = [value] if isinstance(value, str) else value
+    none = F.lit(None).cast(f"struct<{', '.join(f'{v}: double' for v in values)}>")
+    stacked = left.select(*keys, t, F.col(ident), none.alias("_v"), F.lit(0).alias("_r")).unionAll(
+        right.select(*keys, t, F.lit(None).cast("long").alias(ident), F.struct(*(F.col(v).cast("double").alias(v) for v in values)).alias("_v"), F.lit(1).alias("_r"))
     )
     entry = F.when(F.col("_r") == 1, F.struct(F.col(t).alias("t"), F.col("_v").alias("v")))
     order = Window.partitionBy(*keys).orderBy(t)
@@ -45,7 +47,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, val
     best = F.when(to_a.isNull() | (to_b <= to_a), F.col("_b")).otherwise(F.col("_a"))
     seen = seen.withColumn("_n", best)
     close = F.abs(F.col(t) - F.col("_n.t")) < tolerance
-    return seen.select(ident, t, F.when(close, F.col("_n.t")).alias("near_t"), F.when(close, F.col("_n.v")).alias(value))
+    return seen.select(ident, t, F.when(close, F.col("_n.t")).alias("near_t"), *(F.when(close, F.col(f"_n.v.{v}")).alias(v) for v in values))
 
 
 def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius: float, condition: Column, ident: str) -> DataFrame:
@@ -85,3 +87,47 @@ def assemble(features: DataFrame, keys: list[str], names: list[str]) -> DataFram
     of several values of a feature the one of the first source wins."""
     one = features.where("value is not null").groupBy(*keys, "feature").agg(F.min_by("value", "source").alias("value"))
     return one.groupBy(*keys).pivot("feature", names).agg(F.first("value"))
+
+
+def beside(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Feature tables with one row per keys side by side, each column under its
+    table's prefix; a row for each key that any of them has."""
+    out = None
+    for prefix, table in tables.items():
+        named = table.select(*keys, *(F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in table.columns if c not in keys))
+        out = named if out is None else out.join(named, keys, "full_outer")
+    return out
+
+
+def marker_match(flashes: DataFrame, markers: DataFrame, trial: str = "trial") -> DataFrame:
+    """flashes with the marker of their trial, whose label may stand as it is
+    (T01) or as its bare number (1). The label as it is goes first; of several
+    markers of one key the last (by `pos`) counts."""
+    one = markers.where(F.length(F.trim(trial)) > 0).groupBy(F.trim(trial).alias("_key")).agg(F.max_by("marker_ms", "pos").alias("marker_ms")).where("marker_ms <> 0")
+    bare = F.regexp_replace(F.regexp_replace(F.col(trial), "^T+", ""), "^0+", "")
+    keys = F.array(F.struct(F.lit(0).alias("_by"), F.col(trial).alias("_key")), F.struct(F.lit(1).alias("_by"), F.when(bare == "", "0").otherwise(bare).alias("_key")))
+    each = flashes.withColumn("_ways", keys).withColumn("_way", F.explode("_ways")).select(*flashes.columns, "_way.*")
+    found = each.join(one, "_key").groupBy(*flashes.columns).agg(F.min_by("marker_ms", "_by").alias("marker_ms"))
+    return flashes.join(found, flashes.columns, "left")
+
+
+def nearest_other(points: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """(keys, ident, d): distance of each point (x, y) to the nearest other one
+    of its keys. Points meet those of the nine cells around their own, twice the
+    mean spacing wide; only who finds none closer than a cell meets all."""
+    size = points.groupBy(*keys).agg(
+        F.greatest(2 * F.sqrt((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) / F.count(F.lit(1))), F.lit(1e-9)).alias("_w"), F.min("x").alias("_x0"), F.min("y").alias("_y0")
+    )
+    cell = points.join(size, keys).withColumn("_cx", F.floor((F.col("x") - F.col("_x0")) / F.col("_w"))).withColumn("_cy", F.floor((F.col("y") - F.col("_y0")) / F.col("_w"))).drop("_x0", "_y0")
+    step = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    spread = cell.withColumn("_s", F.explode(step)).withColumn("_cx", F.col("_cx") + F.col("_s.a")).withColumn("_cy", F.col("_cy") + F.col("_s.b"))
+
+    def least(left: DataFrame, right: DataFrame, at: list[str]) -> DataFrame:
+        other = right.select(*at, F.col(ident).alias("_i"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+        d = F.sqrt(F.pow(F.col("x") - F.col("_x"), F.lit(2)) + F.pow(F.col("y") - F.col("_y"), F.lit(2)))
+        return left.join(other, at).where(F.col(ident) != F.col("_i")).groupBy(*keys, ident).agg(F.min(d).alias("d"))
+
+    near = cell.join(least(cell, spread, [*keys, "_cx", "_cy"]), [*keys, ident], "left")
+    sure = F.coalesce(F.col("d") <= F.col("_w"), F.lit(False))
+    rest = least(near.where(~sure).drop("d"), points, keys)
+    return near.where(sure).select(*keys, ident, "d").unionAll(rest)

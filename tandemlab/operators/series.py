@@ -14,6 +14,13 @@ def indexed(df: DataFrame, keys: list[str], order: list[str], value: Column) ->
     return df.select(*keys, (F.row_number().over(w.orderBy(*order)) - 1).cast("int").alias("i"), value.cast("double").alias("v"), F.count(F.lit(1)).over(w).alias("n"))
 
 
+def strided(series: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Every k-th row of an indexed series, k the whole number of times that
+    `most` goes into its length (1 at least)."""
+    step = F.greatest(F.floor(F.col("n") / most), F.lit(1))
+    return series.withColumn("_step", step).where("i % _step = 0").withColumn("i", F.expr("cast(i div _step as int)")).drop("_step")
+
+
 def on_grid(df: DataFrame, keys: list[str], t: str, value: str, start: Column, end: Column, step: int, inclusive: bool = True) -> DataFrame:
     """(keys, t, v): linear interpolation at start, start + step, .. end; the
     edge value outside the series. df's times are unique per key; start and end
@@ -67,8 +74,9 @@ def line_metrics(edges: DataFrame, sizes: DataFrame, keys: list[str], shortest:
 
     count = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_e"))
     diagonal = lines(F.col("i") - F.col("j"), "i", ("_d", "mean_diag", "max_diag", "entropy"))
-    column = lines(F.col("j"), "i", ("_v", "trapping_time", "max_vert", "_h"))
+    column = lines(F.col("j"), "i", ("_v", "trapping_time", "max_vert", "entropy_vert"))
     joined = sizes.join(count, keys, "left").join(diagonal, keys, "left").join(column, keys, "left")
+    longest = F.coalesce("max_diag", F.lit(0))
     share = lambda part, whole: F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
     return joined.select(
@@ -76,11 +84,13 @@ def line_metrics(edges: DataFrame, sizes: DataFrame, keys: list[str], shortest:
         F.round(share("_e", "cells"), 6).alias("rr"),
         F.round(share("_d", "_e"), 6).alias("det"),
         F.round(zero("mean_diag"), 6).alias("mean_diag"),
-        F.coalesce("max_diag", F.lit(0)).cast("long").alias("max_diag"),
+        longest.cast("long").alias("max_diag"),
+        F.round(F.when(longest > 0, 1 / longest).otherwise(0.0), 6).alias("div"),
         F.round(zero("entropy"), 6).alias("entropy"),
         F.round(share("_v", "_e"), 6).alias("lam"),
         F.round(zero("trapping_time"), 6).alias("trapping_time"),
         F.coalesce("max_vert", F.lit(0)).cast("long").alias("max_vert"),
+        F.round(zero("entropy_vert"), 6).alias("entropy_vert"),
     )
 
 

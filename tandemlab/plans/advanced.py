@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemlab.functions import scalars as sc
+from tandemlab.operators import alignment as al
+from tandemlab.operators import grouped, joins
 from tandemlab.operators import series as ts
 from tandemlab.operators import stats as st
 from tandemlab.plans.basics import AREA_SQL, ONE_SQL, SERIES, STEP_SQL, TRIAL, S, trials, unique_times
@@ -86,7 +88,8 @@ def line_sql(key: str) -> str:
 {0}m as (select {1}, sum(n * c) as s, sum(n * c) * 1.0 / sum(c) as m, max(n) as x, sum(h) as h from (select *, -(c * 1.0 / sum(c) over (partition by {1})) * ln(c * 1.0 / sum(c) over (partition by {1})) as h from {0}l) group by {1})"""
     return f"""{part.format("d", key, "i - j")}, {part.format("w", key, "j")}, k as (select {key}, count(*) as e from e group by {key})
 select {key}, round(coalesce(e * 1.0 / cells, 0), 6) as rr, round(coalesce(dm.s * 1.0 / e, 0), 6) as det, round(coalesce(dm.m, 0), 6) as mean_diag, cast(coalesce(dm.x, 0) as bigint) as max_diag, round(coalesce(dm.h, 0), 6) as entropy,
-  round(coalesce(wm.s * 1.0 / e, 0), 6) as lam, round(coalesce(wm.m, 0), 6) as trapping_time, cast(coalesce(wm.x, 0) as bigint) as max_vert
+  round(coalesce(wm.s * 1.0 / e, 0), 6) as lam, round(coalesce(wm.m, 0), 6) as trapping_time, cast(coalesce(wm.x, 0) as bigint) as max_vert,
+  round(coalesce(1.0 / dm.x, 0), 6) as div, round(coalesce(wm.h, 0), 6) as entropy_vert
 from z left join k using ({key}) left join dm using ({key}) left join wm using ({key})"""
 
 
@@ -128,26 +131,50 @@ def ts_mdrqa(spark, sf_dir):
     sizes = rows.groupBy("dyad").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1)).alias("cells"))
     x, o = rows.alias("x"), rows.alias("o")
     apart = F.sqrt(F.pow(F.col("x.v") - F.col("o.v"), 2) + F.pow(F.col("x.w") - F.col("o.w"), 2))
-    far = x.join(o, (F.col("x.dyad") == F.col("o.dyad")) & (F.col("x.i") != F.col("o.i"))).select("x.dyad", F.col("x.i").alias("i"), F.col("o.i").alias("j"), apart.alias("d"))
-    eps = far.where("i < j").groupBy("dyad").agg(F.greatest(F.percentile("d", F.lit(0.05)), F.lit(0.01)).alias("eps"))
-    return ts.line_metrics(far.join(eps, "dyad").where("d <= eps + 1e-9").select("dyad", "i", "j"), sizes, ["dyad"])
+    far = x.join(o, (F.col("x.dyad") == F.col("o.dyad")) & (F.col("x.i") < F.col("o.i"))).select("x.dyad", F.col("x.i").alias("i"), F.col("o.i").alias("j"), apart.alias("d"))
+    # the 5th percentile stands between two ranks: pairs are made and sorted once
+    ranked = far.withColumn("k", F.row_number().over(w.orderBy("d"))).withColumn("at", (F.count(F.lit(1)).over(w) - 1) * 0.05)
+    low, part = F.floor("at"), F.col("at") - F.floor("at")
+    value = lambda k: F.max(F.when(F.col("k") == k, F.col("d"))).over(w)
+    ranked = ranked.withColumn("eps", F.greatest(value(low + 1) * (1 - part) + F.coalesce(value(low + 2), F.lit(0.0)) * part, F.lit(0.01)))
+    near = ranked.where("d <= eps + 1e-9")
+    edges = near.select("dyad", "i", "j").unionAll(near.select("dyad", F.col("j").alias("i"), F.col("i").alias("j")))
+    return ts.line_metrics(edges, sizes, ["dyad"])
 
 
-@query(S + f""", {USER_SQL}, c as (select user_id // 2 as dyad, user_id % 2 as side, i, v, n from v), r as (select dyad, 0.1 * sqrt((var_samp(v) filter (side = 0) + var_samp(v) filter (side = 1)) / 2) as r, min(n) as n from c group by dyad having count(distinct side) = 2),
-p as (select x.dyad, y.i - x.i as lag, avg(case when abs(x.v - y.v) <= greatest(r.r, 0.01) then 1.0 else 0.0 end) as rr from c x join c y on x.dyad = y.dyad and x.side = 0 and y.side = 1 and abs(y.i - x.i) <= 20 join r on r.dyad = x.dyad where x.i < r.n and y.i < r.n group by all)
-select dyad, round(max(rr), 6) as peak, arg_min(lag, (-round(rr, 6), lag)) as lag, round(avg(rr), 6) as mean from p group by dyad""")
+#: The two series cut to one length, of ten points or more, and the radius over both together.
+BOTH_SQL = """t as (select * from q where n >= 10), r as (select dyad, case when stddev_samp(v) > 0 then greatest(0.1 * stddev_samp(v), 0.01) else 0.1 end as r, any_value(n) as n from (select dyad, a as v, n from t union all select dyad, b, n from t) group by dyad)"""
+
+
+def both_radius(rows: DataFrame) -> DataFrame:
+    """(dyad, r, m): radius of pairs rows by the SD of both series together."""
+    sd = F.stddev_samp("v")
+    long = rows.select("dyad", "n", F.explode(F.array("a", "b")).alias("v"))
+    return long.groupBy("dyad").agg(F.when(sd > 0, F.greatest(sd * 0.1, F.lit(0.01))).otherwise(0.1).alias("r"), F.max("n").alias("m"))
+
+
+@query(S + f""", {PAIR_SQL}, {BOTH_SQL},
+p as (select x.dyad, y.i - x.i as lag, avg(case when abs(x.a - y.b) <= r.r then 1.0 else 0.0 end) as rr from t x join t y on x.dyad = y.dyad and abs(y.i - x.i) <= 20 join r on r.dyad = x.dyad group by all),
+k as (select dyad, max(rr) as peak, arg_min(lag, (-round(rr, 9), lag)) as lag, coalesce(max(rr) filter (lag = 0), 0) as los from p group by dyad)
+select dyad, round(any_value(peak), 6) as peak, any_value(case when peak > 0 then k.lag else -20 end) as lag, any_value(case when peak > 0 then w else 40 end) as width, round(any_value(los), 6) as los
+from k join (select p.dyad, max(p.lag) - min(p.lag) as w from p join k on k.dyad = p.dyad where p.rr >= k.peak / 2 group by p.dyad) using (dyad) group by dyad""")
 def ts_dcrp(spark, sf_dir):
-    rows = users(spark, sf_dir).withColumn("dyad", F.expr("user_id div 2"))
-    one, two = F.when(F.col("user_id") % 2 == 0, F.col("v")), F.when(F.col("user_id") % 2 == 1, F.col("v"))
-    pooled = rows.groupBy("dyad").agg(F.greatest(F.sqrt((F.var_samp(one) + F.var_samp(two)) / 2) * 0.1, F.lit(0.01)).alias("r"), F.min("n").alias("m"), F.count(one).alias("_1"), F.count(two).alias("_2")).where("_1 > 0 and _2 > 0")
-    rows = rows.join(pooled, "dyad").where("i < m")
-    left = rows.where("user_id % 2 = 0").withColumn("lag", F.explode(F.sequence(F.lit(-20), F.lit(20)))).select("dyad", (F.col("i") + F.col("lag")).alias("i"), "lag", F.col("v").alias("a"), "r")
-    hit = F.when(F.abs(F.col("a") - F.col("v")) <= F.col("r"), 1.0).otherwise(0.0)
-    lags = left.join(rows.where("user_id % 2 = 1").select("dyad", "i", "v"), ["dyad", "i"]).groupBy("dyad", "lag").agg(F.avg(hit).alias("rr"))
-    return lags.groupBy("dyad").agg(F.round(F.max("rr"), 6).alias("peak"), F.min_by("lag", F.struct(-F.round("rr", 6), F.col("lag"))).alias("lag"), F.round(F.avg("rr"), 6).alias("mean"))
+    """Share of recurrence by lag from -20 to 20: peak, its lag (the least on
+    ties), width at half its height, and the line of synchrony."""
+    rows = pairs(spark, sf_dir).where("n >= 10")
+    left = rows.join(both_radius(rows), "dyad").withColumn("lag", F.explode(F.sequence(F.lit(-20), F.lit(20)))).select("dyad", (F.col("i") + F.col("lag")).alias("i"), "lag", "a", "r")
+    hit = F.when(F.abs(F.col("a") - F.col("b")) <= F.col("r"), 1.0).otherwise(0.0)
+    lags = left.join(rows.select("dyad", "i", "b"), ["dyad", "i"]).groupBy("dyad", "lag").agg(F.avg(hit).alias("rr")).withColumn("peak", F.max("rr").over(Window.partitionBy("dyad")))
+    high = F.when(F.col("rr") >= F.col("peak") / 2, F.col("lag"))
+    found = lags.groupBy("dyad").agg(
+        F.max("peak").alias("peak"), F.min_by("lag", F.struct(-F.round("rr", 9), F.col("lag"))).alias("lag"), (F.max(high) - F.min(high)).alias("width"), F.coalesce(F.max(F.when(F.col("lag") == 0, F.col("rr"))), F.lit(0.0)).alias("los")
+    )
+    # lags beyond the series have a share of 0, which counts where the peak is 0 as well
+    there = F.col("peak") > 0
+    return found.select("dyad", F.round("peak", 6).alias("peak"), F.when(there, F.col("lag")).otherwise(-20).alias("lag"), F.when(there, F.col("width")).otherwise(40).alias("width"), F.round("los", 6).alias("los"))
 
 
-WIN_SQL = "o as (select dyad, win, a, b from q, (select unnest(range(0, 100)) as win) where i >= win * 10 and i < win * 10 + 30 and win * 10 + 30 <= n)"
+WIN_SQL = "o as (select dyad, win, a, b from (select *, unnest(range(greatest(0, cast(ceil((i - 29) / 10.0) as bigint)), least(i // 10, (n - 30) // 10) + 1)) as win from q where n >= 30))"
 
 
 @query(S + f""", {PAIR_SQL}, {WIN_SQL}, c as (select dyad, win, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) as r from o group by dyad, win having stddev_pop(a) > 1e-6 and stddev_pop(b) > 1e-6)
@@ -174,40 +201,81 @@ def ts_te(spark, sf_dir):
     return joined.select("dyad", (F.col("d2m") + 0.0).alias("d2m"), (F.col("m2d") + 0.0).alias("m2d"), (F.round(F.col("d2m") - F.col("m2d"), 5) + 0.0).alias("asymmetry"))
 
 
-@query(S + f""", {PAIR_SQL}, {WIN_SQL.replace("a, b from", "i, a, b from")}, r as (select dyad, win, greatest(0.1 * sqrt((var_samp(a) + var_samp(b)) / 2), 0.01) as r from o group by dyad, win),
-c as (select x.dyad, x.win, avg(case when abs(x.a - y.b) <= r.r then 1.0 else 0.0 end) as rr from o x join o y on x.dyad = y.dyad and x.win = y.win join r on r.dyad = x.dyad and r.win = x.win group by all)
-select dyad, round(avg(rr), 6) as mean, round(stddev_pop(rr), 6) as sd, round(case when count(*) > 1 then regr_slope(rr, win) else 0 end, 6) + 0.0 as trend from c group by dyad""")
+def trend_sql(c: str) -> str:
+    return f"round(case when count(*) > 1 then regr_slope({c}, win) else 0 end, 6) + 0.0 as {c}_trend"
+
+
+@query(f"""select dyad, round(avg(rr), 5) as rr_mean, round(stddev_pop(rr), 5) as rr_sd, {trend_sql("rr")}, round(avg(det), 5) as det_mean, round(stddev_pop(det), 5) as det_sd, {trend_sql("det")}, count(*) as n_windows from (
+{S}, {PAIR_SQL}, {WIN_SQL.replace("dyad, win, a, b from (", "dyad, win, i, a, b from (")}, r as (select dyad, win, greatest(0.1 * sqrt((var_samp(a) + var_samp(b)) / 2), 0.01) as r from o group by dyad, win), z as (select dyad, win, count(*) * count(*) as cells from o group by dyad, win),
+e as (select x.dyad, x.win, x.i, y.i as j from o x join o y on x.dyad = y.dyad and x.win = y.win join r on r.dyad = x.dyad and r.win = x.win where abs(x.a - y.b) <= r.r), {line_sql("dyad, win")}) group by dyad""")
 def ts_wcrqa(spark, sf_dir):
+    """Cross-recurrence in windows of 30 points, 10 apart: rate and determinism over time."""
     o = ts.windowed(pairs(spark, sf_dir), ["dyad"], 30, 10)
-    radius = o.groupBy("dyad", "win").agg(F.greatest(F.sqrt((F.var_samp("a") + F.var_samp("b")) / 2) * 0.1, F.lit(0.01)).alias("r"))
-    cells = o.select("dyad", "win", "a").join(o.select("dyad", "win", "b"), ["dyad", "win"]).join(radius, ["dyad", "win"])
-    rates = cells.groupBy("dyad", "win").agg(F.avg(F.when(F.abs(F.col("a") - F.col("b")) <= F.col("r"), 1.0).otherwise(0.0)).alias("rr"))
-    trend = F.coalesce(sc.slope(F.col("rr"), F.col("win").cast("double")), F.lit(0.0))
-    return rates.groupBy("dyad").agg(F.round(F.avg("rr"), 6).alias("mean"), F.round(F.stddev_pop("rr"), 6).alias("sd"), (F.round(trend, 6) + 0.0).alias("trend"))
+    keys = ["dyad", "win"]
+    sizes = o.groupBy(*keys).agg(F.greatest(F.sqrt((F.var_samp("a") + F.var_samp("b")) / 2) * 0.1, F.lit(0.01)).alias("r"), (F.count(F.lit(1)) * F.count(F.lit(1))).alias("cells"))
+    left = o.select(*keys, "i", F.col("a").alias("v")).join(sizes.select(*keys, "r"), keys)
+    edges = ts.recurrences(left, o.select(*keys, "i", F.col("b").alias("v")), keys, ["v"], F.col("a.r"), 0)
+    found = ts.line_metrics(edges, sizes.select(*keys, "cells"), keys).withColumn("win", F.col("win").cast("double"))
+    trend = lambda c: (F.round(F.coalesce(sc.slope(F.col(c), F.col("win")), F.lit(0.0)), 6) + 0.0).alias(f"{c}_trend")
+    each = [x for c in ("rr", "det") for x in (F.round(F.avg(c), 5).alias(f"{c}_mean"), F.round(F.stddev_pop(c), 5).alias(f"{c}_sd"), trend(c))]
+    return found.groupBy("dyad").agg(*each, F.count(F.lit(1)).alias("n_windows"))
+
+
+@query(f"""select dyad, max(rr) filter (k = 0) as rr, max(det) filter (k = 0) as det, round(avg(rr) filter (k > 0), 6) as null_rr, round(avg(det) filter (k > 0), 5) as null_det, round(stddev_pop(det) filter (k > 0), 5) as null_det_sd,
+  round(case when stddev_pop(det) filter (k > 0) > 1e-9 then (max(det) filter (k = 0) - avg(det) filter (k > 0)) / stddev_pop(det) filter (k > 0) else 0 end, 3) + 0.0 as z from (
+{S}, {PAIR_SQL}, t as (select * from q where n >= 10), c as (select dyad, greatest(0.1 * sqrt((var_samp(a) + var_samp(b)) / 2), 0.01) as r, any_value(n) as n from t group by dyad), turns as (select unnest(range(0, 21)) as k),
+z as (select dyad, k, n * n as cells from c, turns), e as (select x.dyad, k, x.i, (y.i + case when k = 0 then 0 else c.n // 4 + (k - 1) * (c.n // 2) // 20 end) % c.n as j from t x join t y on x.dyad = y.dyad join c on c.dyad = x.dyad, turns where abs(x.a - y.b) <= c.r), {line_sql("dyad, k")}) group by dyad""")
+def ts_surrogate(spark, sf_dir):
+    """Cross-recurrence against 20 circular shifts of the second series, spaced
+    evenly over [N/4, 3N/4). A shift moves the recurrent cells, so they are found
+    once; their rate stays, their lines change."""
+    rows = pairs(spark, sf_dir).where("n >= 10")
+    sizes = rows.groupBy("dyad").agg(F.greatest(F.sqrt((F.var_samp("a") + F.var_samp("b")) / 2) * 0.1, F.lit(0.01)).alias("r"), F.max("n").alias("m"))
+    left = rows.select("dyad", "i", F.col("a").alias("v")).join(sizes, "dyad")
+    edges = ts.recurrences(left, rows.select("dyad", "i", F.col("b").alias("v")), ["dyad"], ["v"], F.col("a.r"), 0)
+    every = F.explode(F.sequence(F.lit(0), F.lit(20)))
+    shift = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.expr("m div 4 + (k - 1) * (m div 2) div 20"))
+    moved = edges.join(sizes.select("dyad", "m"), "dyad").withColumn("k", every).withColumn("j", ((F.col("j") + shift) % F.col("m")).cast("int"))
+    cells = sizes.select("dyad", (F.col("m") * F.col("m")).alias("cells"), every.alias("k"))
+    found = ts.line_metrics(moved.select("dyad", "k", "i", "j"), cells, ["dyad", "k"])
+    real, null = lambda c: F.max(F.when(F.col("k") == 0, F.col(c))), lambda c: F.when(F.col("k") > 0, F.col(c))
+    mean, sd = F.avg(null("det")), F.stddev_pop(null("det"))
+    return found.groupBy("dyad").agg(
+        real("rr").alias("rr"), real("det").alias("det"), F.round(F.avg(null("rr")), 6).alias("null_rr"), F.round(mean, 5).alias("null_det"), F.round(sd, 5).alias("null_det_sd"),
+        (F.round(F.when(sd > 1e-9, (real("det") - mean) / sd).otherwise(0.0), 3) + 0.0).alias("z"),
+    )
 
 
-@query(S + f""", {PAIR_SQL}, k as (select unnest(range(0, 20)) as k), c as (select x.dyad, k, avg(case when abs(x.a - y.b) <= 1.0 then 1.0 else 0.0 end) as rr from q x, k, q y
-  where y.dyad = x.dyad and x.i < x.n and y.i = (x.i + case when k = 0 then 0 else x.n // 4 + k * (x.n // 2) // 20 end) % x.n group by all)
-select dyad, round(max(rr) filter (k = 0), 6) as real, round(avg(rr) filter (k > 0), 6) as null_mean, round(case when stddev_pop(rr) filter (k > 0) > 1e-9 then (max(rr) filter (k = 0) - avg(rr) filter (k > 0)) / stddev_pop(rr) filter (k > 0) else 0 end, 4) + 0.0 as z from c group by dyad""")
-def ts_surrogate(spark, sf_dir):
-    """Circular shifts in [N/4, 3N/4), spaced evenly, against no shift (k = 0)."""
-    q = pairs(spark, sf_dir).where("i < n")
-    shift = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.expr("n div 4 + k * (n div 2) div 20"))
-    left = q.select("dyad", "a", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")).withColumn("i", ((F.col("i") + shift) % F.col("n")).cast("int"))
-    rates = left.join(q.select("dyad", "i", "b"), ["dyad", "i"]).groupBy("dyad", "k").agg(F.avg(F.when(F.abs(F.col("a") - F.col("b")) <= 1.0, 1.0).otherwise(0.0)).alias("rr"))
-    null = F.when(F.col("k") > 0, F.col("rr"))
-    real, mean, sd = F.max(F.when(F.col("k") == 0, F.col("rr"))), F.avg(null), F.stddev_pop(null)
-    return rates.groupBy("dyad").agg(F.round(real, 6).alias("real"), F.round(mean, 6).alias("null_mean"), (F.round(F.when(sd > 1e-9, (real - mean) / sd).otherwise(0.0), 4) + 0.0).alias("z"))
-
-
-@query(S + f""", {PAIR_SQL} select dyad, round(avg(abs(a - b)), 5) as mean, round(median(abs(a - b)), 5) as med, round(coalesce(stddev_samp(abs(a - b)), 0), 5) as sd, round(avg(case when abs(a - b) < 5 then 1.0 else 0.0 end), 6) as within5,
-  round(coalesce(case when var_pop(i) > 0 then covar_pop(abs(a - b), i) / var_pop(i) end, 0), 5) + 0.0 as trend from q group by dyad""")
+CONVERGENCE_SQL = """m as (select dyad, role, cast(trial as bigint) * 500000000 + t as t, min(x) as x, min(y) as y from s where x between 0 and 651 and y between 0 and 900 group by all),
+b as (select dyad, max(a) as a, min(b) as b from (select dyad, role, min(t) as a, max(t) as b from m group by all having count(*) >= 10) group by dyad having count(*) = 2),
+g as (select dyad, unnest(range(a, b, 21600000)) as t from b), p as (select g.*, role from g, (values ('director'), ('matcher')) r(role)),
+l as (select p.*, m.t as t0, m.x as x0, m.y as y0 from p asof join m on p.dyad = m.dyad and p.role = m.role and p.t >= m.t),
+f as (select l.*, m.t as t1, m.x as x1, m.y as y1 from l asof join m on l.dyad = m.dyad and l.role = m.role and l.t <= m.t),
+w as (select dyad, t, max(x) filter (role = 'director') as dx, max(y) filter (role = 'director') as dy, max(x) filter (role = 'matcher') as mx, max(y) filter (role = 'matcher') as my from
+  (select dyad, role, t, case when t1 = t0 then x0 else x0 + (t - t0) * 1.0 / (t1 - t0) * (x1 - x0) end as x, case when t1 = t0 then y0 else y0 + (t - t0) * 1.0 / (t1 - t0) * (y1 - y0) end as y from f) group by all),
+d as (select dyad, sqrt(pow(dx - mx, 2) + pow(dy - my, 2)) as d, row_number() over (partition by dyad order by t) as i from w)"""
+
+
+@query(S + f""", {CONVERGENCE_SQL} select dyad, round(avg(d), 5) as mean, round(median(d), 5) as med, round(stddev_pop(d), 5) as sd, round(min(d), 5) as lo, round(max(d), 5) as hi, round(avg(case when d < 50 then 1.0 else 0.0 end), 6) as within50,
+  round(avg(case when d < 100 then 1.0 else 0.0 end), 6) as within100, round(avg(case when d < 150 then 1.0 else 0.0 end), 6) as within150, round(case when count(*) > 2 then regr_slope(d, i) end, 5) + 0.0 as trend from d group by dyad having count(*) >= 10""")
 def ts_convergence(spark, sf_dir):
-    rows = pairs(spark, sf_dir).withColumn("d", F.abs(F.col("a") - F.col("b"))).withColumn("x", F.col("i").cast("double"))
-    return rows.groupBy("dyad").agg(
-        F.round(F.avg("d"), 5).alias("mean"), F.round(F.median("d"), 5).alias("med"), F.round(F.coalesce(F.stddev_samp("d"), F.lit(0.0)), 5).alias("sd"), F.round(F.avg(F.when(F.col("d") < 5, 1.0).otherwise(0.0)), 6).alias("within5"),
-        (F.round(F.coalesce(sc.slope(F.col("d"), F.col("x")), F.lit(0.0)), 5) + 0.0).alias("trend"),
+    """Distance of both gazes on the map, on one grid of time over their overlap."""
+    rows = samples(spark, sf_dir).where("x between 0 and 651 and y between 0 and 900")
+    rows = rows.groupBy("dyad", "role", (F.col("trial").cast("long") * 500000000 + F.col("t")).alias("t")).agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    ends = rows.groupBy("dyad", "role").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).where("n >= 10")
+    ends = ends.groupBy("dyad").agg(F.max("a").alias("_from"), F.min("b").alias("_to"), F.count(F.lit(1)).alias("_k")).where("_k = 2")
+    both = rows.join(ends, "dyad")
+    grid = lambda c: ts.on_grid(both, ["dyad", "role"], "t", c, F.max("_from"), F.max("_to"), 21600000, inclusive=False).withColumnRenamed("v", c)
+    placed = grid("x").join(grid("y"), ["dyad", "role", "t"])
+    side = lambda c, role: F.max(F.when(F.col("role") == role, F.col(c)))
+    apart = F.sqrt(F.pow(side("x", "director") - side("x", "matcher"), F.lit(2)) + F.pow(side("y", "director") - side("y", "matcher"), F.lit(2)))
+    d = placed.groupBy("dyad", "t").agg(apart.alias("d")).withColumn("i", F.row_number().over(Window.partitionBy("dyad").orderBy("t")).cast("double"))
+    within = [F.round(F.avg(F.when(F.col("d") < k, 1.0).otherwise(0.0)), 6).alias(f"within{k}") for k in (50, 100, 150)]
+    found = d.groupBy("dyad").agg(
+        F.round(F.avg("d"), 5).alias("mean"), F.round(F.median("d"), 5).alias("med"), F.round(F.stddev_pop("d"), 5).alias("sd"), F.round(F.min("d"), 5).alias("lo"), F.round(F.max("d"), 5).alias("hi"), *within,
+        (F.round(sc.slope(F.col("d"), F.col("i")), 5) + 0.0).alias("trend"), F.count(F.lit(1)).alias("_n"),
     )
+    return found.where("_n >= 10").drop("_n")
 
 
 @query(S + f""", {PAIR_SQL}, c as (select x.dyad, y.i - x.i as lag, covar_pop(x.a, y.b) / (stddev_pop(x.a) * stddev_pop(y.b)) as r from q x join q y on x.dyad = y.dyad and abs(y.i - x.i) <= 10 group by all having count(*) >= 10 and stddev_pop(x.a) > 1e-12 and stddev_pop(y.b) > 1e-12)
@@ -219,33 +287,55 @@ def ts_coupling_lag(spark, sf_dir):
     return best.withColumn("leader", F.when(F.col("lag") > 0, "director").when(F.col("lag") < 0, "matcher").otherwise("none"))
 
 
-@query(S + f""", {ONE_SQL}, w as (select f.event_id, m.t, m.x, m.t - f.t as off from u f join u m on f.dyad = m.dyad and f.trial = m.trial and f.role = m.role and m.t between f.t + 100 and f.t + 100000000),
-r as (select event_id, t, lag(t) over v as before, (x - lag(x) over v) / (t - lag(t) over v) as rate, count(*) over (partition by event_id) as n from w window v as (partition by event_id order by t))
-select event_id, arg_min(before, (rate, t)) as onset from r where n >= 3 and rate < 0 group by event_id""")
+@query(S + f""", {ONE_SQL}, w as (select f.event_id, m.t, m.x, m.t between f.t + 100 and f.t + 150000000 as tight, count(*) filter (m.t between f.t + 100 and f.t + 150000000) over (partition by f.event_id) as k
+  from u f join u m on f.dyad = m.dyad and f.trial = m.trial and f.role = m.role and m.t between f.t - 200000000 and f.t + 200000000),
+r as (select event_id, t, lag(t) over v as before, (x - lag(x) over v) / (t - lag(t) over v) as rate, count(*) over (partition by event_id) as n from w where k < 3 or tight window v as (partition by event_id order by t))
+select event_id, arg_min(before, (rate, t)) as onset from r where n >= 4 and rate < 0 group by event_id""")
 def ts_flash_onset(spark, sf_dir):
-    """The sample before the steepest fall in a window after each sample."""
+    """The sample before the steepest fall after each sample."""
     rows = unique_times(spark, sf_dir)
-    m, f = rows.alias("m"), rows.alias("f")
-    on = (F.col("m.t") >= F.col("f.t") + 100) & (F.col("m.t") <= F.col("f.t") + 100000000)
-    for k in SERIES:
-        on &= F.col(f"m.{k}") == F.col(f"f.{k}")
-    near = f.join(m, on).select(F.col("f.event_id").alias("event_id"), F.col("m.t").alias("t"), F.col("m.x").alias("x"))
-    w = Window.partitionBy("event_id").orderBy("t")
-    rate = (F.col("x") - F.lag("x").over(w)) / (F.col("t") - F.lag("t").over(w))
-    near = near.withColumn("rate", rate).withColumn("before", F.lag("t").over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("event_id")))
-    return near.where("n >= 3 and rate < 0").groupBy("event_id").agg(F.min_by("before", F.struct("rate", "t")).alias("onset"))
-
-
-@query(S + """, o as (select dyad, trial, list(x order by x) filter (event_type = 'click') as c, list(x order by x) filter (event_type = 'view') as v from s group by dyad, trial)
-select dyad, trial, case when len(c) >= 4 then 'click' when len(v) >= 3 then 'view' else 'none' end as method, coalesce(case when len(c) >= 4 then c[len(c) // 2 + 1] end, case when len(v) >= 3 then v[len(v) // 2 + 1] end, 0.0) as shift from o""")
+    return al.flash_onset(rows.select(*SERIES, "t", "x"), rows.select(*SERIES, "event_id", F.col("t").alias("flash")), SERIES, "event_id", (100, 150000000), 200000000, 3, 4)
+
+
+OFFSET_SQL = """f as (select dyad, trial, count(*) filter (event_type = 'view') as flashes, list(t order by t) filter (event_type = 'view') as views, list(t order by t) filter (event_type = 'signup') as edges,
+  cast(trunc(avg(x - 60) filter (event_type = 'click')) as bigint) as lsl, arg_min(x, t) filter (event_type = 'error') as manual, list(x order by x) filter (event_type = 'view') as pupil, cast(trunc(avg(y - x) filter (event_type = 'purchase')) as bigint) as coarse from s group by dyad, trial),
+o as (select *, case when flashes > 0 and coalesce(len(edges), 0) >= flashes * 2 // 3 and len(edges) > 0 then cast(trunc((list_sum(edges[1:least(len(edges), flashes)]) - list_sum(views[1:least(len(edges), flashes)])) / least(len(edges), flashes)) as bigint) end as ttl from f)"""
+
+
+@query(S + f""", {OFFSET_SQL} select dyad, trial, case when lsl is not null and flashes > 0 then 'lsl' when ttl is not null then 'ttl' when manual is not null then 'manual' when flashes > 0 then 'pupil' when coarse is not null then 'coarse' else 'none' end as method,
+  round(case when lsl is not null and flashes > 0 then lsl when ttl is not null then ttl when manual is not null then manual when flashes > 0 then pupil[len(pupil) // 2 + 1] - 250 when coarse is not null then coarse - 250 else 0 end, 6) as shift from o""")
 def ts_offset_pick(spark, sf_dir):
-    """The first method in order with enough evidence; upper median; 0 if none."""
-    pick = lambda kind: F.sort_array(F.collect_list(F.when(F.col("event_type") == kind, F.col("x"))))
-    rows = samples(spark, sf_dir).groupBy(*TRIAL).agg(pick("click").alias("c"), pick("view").alias("v"))
-    upper = lambda c: F.get(c, F.expr(f"cast(size({c}) div 2 as int)"))
-    enough_c, enough_v = F.size("c") >= 4, F.size("v") >= 3
-    method = F.when(enough_c, "click").when(enough_v, "view").otherwise("none")
-    return rows.select(*TRIAL, method.alias("method"), F.coalesce(F.when(enough_c, upper("c")), F.when(enough_v, upper("v")), F.lit(0.0)).alias("shift"))
+    """Five sources of the clock offset; event types stand for them."""
+    rows = samples(spark, sf_dir)
+    kind = lambda k: F.col("event_type") == k
+    flashes = rows.where(kind("view")).select(*TRIAL, F.col("t").alias("flash"))
+    edges = rows.where(kind("signup")).select(*TRIAL, F.col("t").alias("edge"))
+    pupil = rows.where(kind("view")).select(*TRIAL, F.col("x").alias("offset"))
+    single = rows.groupBy(*TRIAL).agg(
+        F.avg(F.when(kind("click"), F.col("x") - 60)).alias("lsl"), F.min_by("x", F.when(kind("error"), F.col("t"))).alias("manual"), F.avg(F.when(kind("purchase"), F.col("y") - F.col("x"))).alias("coarse")
+    )
+    found = al.offset_choice(single, flashes, edges, pupil, TRIAL)
+    return found.select(*TRIAL, "method", F.round("shift", 6).alias("shift"))
+
+
+COARSE_SQL = """a as (select dyad, cast(trial as bigint) * 500000000 + t as t, min(x) as p from s where role = 'director' and x > 0 group by all), f as (select dyad, cast(trial as bigint) * 500000000 + t as flash, row_number() over (partition by dyad order by trial, t) - 1 as k, count(*) over (partition by dyad) as n from (select distinct dyad, trial, t from s where event_type = 'purchase')),
+d as (select dyad, t, p - avg(p) over w as drop, count(*) over w as later from a window w as (partition by dyad order by t range between 43200000 following and 172800000 following)),
+z as (select dyad, any_value(n) as n, min(flash) as first from f group by dyad having count(*) >= 3),
+e as (select d.dyad, d.t, z.n, row_number() over (partition by d.dyad order by drop desc, d.t) as r, count(*) over (partition by d.dyad) as all_drops from d join z using (dyad) where later >= 2 and drop > 20),
+c as (select dyad, t, n from e where all_drops >= n and r <= 5 * n),
+h as (select c.dyad, c.t as cand, f.k, any_value(f.flash) as flash, any_value(c.n) as n, case when f.k = 0 then c.t else min(o.t) end as hit from c join z using (dyad) join f on f.dyad = c.dyad left join c o on o.dyad = c.dyad and abs(o.t - (c.t + f.flash - z.first)) <= 86400000 group by c.dyad, c.t, f.k),
+g as (select dyad, cand, any_value(n) as n, count(hit) as score, avg(hit - flash) as raw from h group by dyad, cand)
+select dyad, arg_max(score, (score, -cand)) as score, cast(trunc(arg_max(raw, (score, -cand))) as bigint) as coarse from g group by dyad having max(score) >= greatest(3, any_value(n) * 2 // 3)"""
+
+
+@query(S + f", {COARSE_SQL}")
+def ts_coarse_offset(spark, sf_dir):
+    """The director's x over all trials stands for the pupil, purchases for flashes."""
+    at = (F.col("trial").cast("long") * 500000000 + F.col("t")).alias("t")
+    rows = samples(spark, sf_dir)
+    series = rows.where("role = 'director' and x > 0").select("dyad", at, "x").groupBy("dyad", "t").agg(F.min("x").alias("p"))
+    flashes = rows.where("event_type = 'purchase'").select("dyad", at.alias("flash")).distinct()
+    return al.coarse_offset(series, flashes, ["dyad"], (43200000, 172800000), 20.0, 86400000)
 
 
 # ---- geometry
@@ -288,13 +378,7 @@ NN_SQL = f"""{PIXEL_SQL}, n as (select a.dyad, a.trial, a.role, a.px, a.py, min(
 
 @query(S + f""", {NN_SQL} select dyad, trial, round((avg(d) filter (role = 'director') + avg(d) filter (role = 'matcher')) / 2, 6) as chamfer, round(max(d), 6) as hausdorff from n group by dyad, trial""")
 def geo_chamfer_hausdorff(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.dyad") == F.col("b.dyad")) & (F.col("a.trial") == F.col("b.trial")) & (F.col("a.role") != F.col("b.role"))
-    d = F.sqrt(F.pow(F.col("a.px") - F.col("b.px"), F.lit(2)) + F.pow(F.col("a.py") - F.col("b.py"), F.lit(2)))
-    near = a.join(b, on).groupBy("a.dyad", "a.trial", "a.role", "a.px", "a.py").agg(F.min(d).alias("d"))
-    side = lambda role: F.avg(F.when(F.col("role") == role, F.col("d")))
-    return near.groupBy(*TRIAL).agg(F.round((side("director") + side("matcher")) / 2, 6).alias("chamfer"), F.round(F.max("d"), 6).alias("hausdorff"))
+    return grouped.mask_distances(pixels(spark, sf_dir), TRIAL, "dyad long, trial int", "role", ("director", "matcher"))
 
 
 @query(S + f""", {PIXEL_SQL}, e as (select p.*, (select count(*) from p o where o.dyad = p.dyad and o.trial = p.trial and o.role = p.role and abs(o.px - p.px) <= 1 and abs(o.py - p.py) <= 1) < 9 as edge from p),
@@ -317,14 +401,10 @@ def geo_boundary_f(spark, sf_dir):
 
 
 @query(S + """, c as (select a.dyad, a.trial, sum(sign(a.x - b.x) * sign(a.t - b.t)) as s, count(*) as n, count(*) filter (a.x = b.x) as tx, count(*) filter (a.t = b.t) as tt from s a join s b on a.dyad = b.dyad and a.trial = b.trial and a.event_id < b.event_id group by all)
-select dyad, trial, round(s / nullif(sqrt((n - tx) * 1.0 * (n - tt)), 0), 6) + 0.0 as tau from c""")
+select dyad, trial, round(s / sqrt((n - tx) * 1.0 * (n - tt)), 6) + 0.0 as tau from c where tx < n and tt < n""")
 def geo_kendall(spark, sf_dir):
-    rows = samples(spark, sf_dir).select(*TRIAL, "event_id", "t", "x")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.dyad") == F.col("b.dyad")) & (F.col("a.trial") == F.col("b.trial")) & (F.col("a.event_id") < F.col("b.event_id"))
-    dx, dt = F.col("a.x") - F.col("b.x"), (F.col("a.t") - F.col("b.t")).cast("double")
-    c = a.join(b, on).groupBy("a.dyad", "a.trial").agg(F.sum(F.signum(dx) * F.signum(dt)).alias("s"), F.count(F.when(dx != 0, 1)).alias("nx"), F.count(F.when(dt != 0, 1)).alias("nt"))
-    return c.select(*TRIAL, (F.round(F.try_divide(F.col("s"), F.sqrt(F.col("nx").cast("double") * F.col("nt"))), 6) + 0.0).alias("tau"))
+    rows = samples(spark, sf_dir).select(*TRIAL, "t", "x")
+    return grouped.rank_correlations(rows, TRIAL, "dyad long, trial int", "x", "t").where("tau is not null")
 
 
 @query(S + """, d as (select a.dyad, a.trial, a.event_id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as d from s a join s b on a.dyad = b.dyad and a.trial = b.trial and a.event_id <> b.event_id group by all),
@@ -332,14 +412,22 @@ g as (select dyad, trial, (max(x) - min(x)) * (max(y) - min(y)) as area, count(*
 select dyad, trial, round(avg(d) / nullif(0.5 * sqrt(area / n), 0), 6) as nni from d join g using (dyad, trial) group by dyad, trial, area, n""")
 def geo_scanpath_nni(spark, sf_dir):
     rows = samples(spark, sf_dir).select(*TRIAL, "event_id", "x", "y")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.dyad") == F.col("b.dyad")) & (F.col("a.trial") == F.col("b.trial")) & (F.col("a.event_id") != F.col("b.event_id"))
-    d = F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), 2) + F.pow(F.col("a.y") - F.col("b.y"), 2))
-    near = a.join(b, on).groupBy("a.dyad", "a.trial", "a.event_id").agg(F.min(d).alias("d")).groupBy(*TRIAL).agg(F.avg("d").alias("d"))
+    near = joins.nearest_other(rows, TRIAL, "event_id").groupBy(*TRIAL).agg(F.avg("d").alias("d"))
     area = rows.groupBy(*TRIAL).agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"), F.count(F.lit(1)).alias("n"))
     return near.join(area, TRIAL).select(*TRIAL, F.round(F.try_divide(F.col("d"), 0.5 * F.sqrt(F.col("area") / F.col("n"))), 6).alias("nni"))
 
 
+@query(S + f""", {STEP_SQL} select dyad, trial, role, round(sum(sqrt(dx * dx + dy * dy)), 4) as length, max(t) - min(t) as duration, round(case when max(t) > min(t) then sum(sqrt(dx * dx + dy * dy)) / ((max(t) - min(t)) / 1000.0) else 0 end, 8) as velocity
+from d group by dyad, trial, role having count(*) > 1""")
+def geo_scanpath(spark, sf_dir):
+    from tandemlab.plans.basics import steps
+
+    way = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    found = steps(spark, sf_dir).groupBy(*SERIES).agg(F.sum(way).alias("length"), (F.max("t") - F.min("t")).alias("duration"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    velocity = F.when(F.col("duration") > 0, F.col("length") / (F.col("duration") / 1000.0)).otherwise(0.0)
+    return found.select(*SERIES, F.round("length", 4).alias("length"), "duration", F.round(velocity, 8).alias("velocity"))
+
+
 # ---- statistics: outcome = the label's quality, score = n_chars, group = source
 
 SCORE_SQL = "with o as (select d.doc_id, d.source, d.lang, d.n_chars as score, l.quality as label, l.toxic from documents d join labels l using (doc_id))\n"
@@ -412,11 +500,11 @@ def st_cluster_names(spark, sf_dir):
     return c.select("cluster", F.coalesce("name", F.lit("disengaged")).alias("name"))
 
 
-VEC_SQL = "with e as (select vec_id, label, i as feature, round(cast(embedding[i] as double), 6) as v from embeddings, (select unnest(range(1, 9)) as i))\n"
+VEC_SQL = "with e as (select vec_id, label, i as feature, round(cast(embedding[i] as double), 6) as v from embeddings, (select unnest(range(1, 65)) as i))\n"
 
 
-def vectors(spark, sf_dir, k: int = 8) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, k)).alias("feature", "v"))
+def vectors(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("feature", "v"))
     return rows.select("vec_id", "label", (F.col("feature") + 1).cast("long").alias("feature"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
@@ -433,16 +521,12 @@ def st_corr_pairs(spark, sf_dir):
     return both.groupBy("a", "b").agg((F.round(sc.corr("x", "y"), 5) + 0.0).alias("r"))
 
 
-@query("""with k as (select vec_id, label % 3 as c, embedding[1:8] as v from embeddings where vec_id < 1000000), d as (select a.vec_id, a.c, b.c as o, avg(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(cast(a.v[i] as double) - cast(b.v[i] as double), 2))))) as m from k a join k b on a.vec_id <> b.vec_id group by all),
+@query("""with k as (select vec_id, label % 3 as c, embedding as v from embeddings), d as (select a.vec_id, a.c, b.c as o, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(cast(z[1] as double) - cast(z[2] as double), 2))))) as m from k a join k b on a.vec_id <> b.vec_id group by all),
 s as (select vec_id, max(m) filter (c = o) as a, min(m) filter (c <> o) as b from d group by vec_id) select round(avg((b - a) / greatest(a, b)), 5) as silhouette, count(*) as n from s""")
 def st_silhouette(spark, sf_dir):
-    """Euclidean silhouette of given clusters: sums of distances per point and
-    cluster, in one self-join of the clustered items."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("c"), F.slice("embedding", 1, 8).alias("v"))
-    a, b = rows.alias("a"), rows.alias("b")
-    far = F.sqrt(F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
-    d = a.join(b, F.col("a.vec_id") != F.col("b.vec_id")).groupBy("a.vec_id", F.col("a.c").alias("c"), F.col("b.c").alias("o")).agg(F.avg(far).alias("m"))
-    s = d.groupBy("vec_id").agg(F.max(F.when(F.col("c") == F.col("o"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("o"), F.col("m"))).alias("b"))
+    """Euclidean silhouette of given clusters."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("c"), "embedding")
+    s = grouped.silhouettes(rows, "vec_id", "c", "embedding")
     return s.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 5).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
@@ -452,13 +536,13 @@ def st_coassign(spark, sf_dir):
     return st.co_assignment(labels, "seed", "item", "c")
 
 
-@query(SCORE_SQL + """, p as (select perm, o.source, o.doc_id, row_number() over (partition by perm, source order by doc_id) as a, row_number() over (partition by perm, source order by md5('7:' || perm || ':' || doc_id), doc_id) as b, label, score from o, (select unnest(range(0, 20)) as perm)),
+@query(SCORE_SQL + """, p as (select perm, o.source, o.doc_id, row_number() over (partition by perm, source order by doc_id) as a, row_number() over (partition by perm, source order by md5('7:' || perm || ':' || doc_id), doc_id) as b, label, score from o, (select unnest(range(0, 200)) as perm)),
 m as (select x.perm, x.score, y.label from p x join p y on x.perm = y.perm and x.source = y.source and x.a = y.b),
 r as (select perm, label, rank() over (partition by perm order by score) + (count(*) over (partition by perm, score) - 1) / 2.0 as k from m)
 select cast(perm as int) as perm, round((sum(k) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0) / (count(*) filter (label = 1) * count(*) filter (label = 0)), 8) as auc from r group by perm""")
 def st_perm_null(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    dealt = st.shuffled_within(rows.select("doc_id", "source", "label"), "source", "doc_id", "label", 20, 7)
+    dealt = st.shuffled_within(rows.select("doc_id", "source", "label"), "source", "doc_id", "label", 200, 7)
     return st.roc_auc(dealt.join(rows.select("doc_id", "score"), "doc_id"), "score", "label", ["perm"])
 
 

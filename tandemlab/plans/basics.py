@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tandemlab.functions import scalars as sc
 from tandemlab.operators import joins
 from tandemlab.plans.registry import query
-from tandemlab.sources.adapters import SAMPLES_SQL, read, samples
+from tandemlab.sources.adapters import SAMPLE_AREAS, SAMPLES_SQL, read, samples
 
 S = "with " + SAMPLES_SQL + "\n"
 TRIAL = ["dyad", "trial"]
@@ -39,13 +39,13 @@ def clean_to_bool(spark, sf_dir):
     return raw_values(spark, sf_dir).select("event_id", sc.to_bool(F.element_at(words, (F.col("k") % 7 + 1).cast("int"))).alias("flag"))
 
 
-@query(f"""with {RAW_SQL} select event_id, case when k % 3 < 2 then cast(k as int) end as trial,
+@query(f"""with {RAW_SQL} select event_id, case when k % 3 < 2 then cast(k as varchar) else 'warm-up' end as trial,
   'dyad_' || cast(k as varchar) || '_b' as dyad from raw""")
 def clean_trial_norm(spark, sf_dir):
     k = F.col("k").cast("string")
     label = F.when(F.col("k") % 3 == 0, F.concat(F.lit("T0"), k)).when(F.col("k") % 3 == 1, k).otherwise("warm-up")
     ident = F.concat(F.lit(" Dyad "), k, F.lit("-B"))
-    return raw_values(spark, sf_dir).select("event_id", sc.trial_number(label).alias("trial"), sc.normal_id(ident).alias("dyad"))
+    return raw_values(spark, sf_dir).select("event_id", sc.trial_label(label).alias("trial"), sc.normal_id(ident).alias("dyad"))
 
 
 @query(S + """select dyad, trial, count(*) as n, case when trial not between 3 and 7 then 'trial out of range' when count(*) < 20 then 'too few samples' else 'kept' end as reason
@@ -62,13 +62,13 @@ def clean_json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.absent", "bigint").alias("absent"))
 
 
-AREA_SQL = """case when x between 0 and 120 and y between 0 and 120 then 'timer' when x between 100 and 300 and y between 100 and 700 then 'map'
-  when x between 280 and 420 and y between 0 and 900 then 'toolbar' else 'other' end"""
+AREA_SQL = """case when x between 0 and 120 and y between 0 and 120 then 'timer' when role = 'matcher' then case when x between 80 and 280 and y between 100 and 700 then 'map' when x between 280 and 440 and y between 0 and 900 then 'toolbar' else 'other' end
+  when x between 100 and 300 and y between 100 and 700 then 'map' when x between 280 and 420 and y between 0 and 900 then 'toolbar' else 'other' end"""
 
 
 @query(S + f"select event_id, {AREA_SQL} as aoi from s")
 def clean_aoi(spark, sf_dir):
-    return samples(spark, sf_dir).select("event_id", sc.area_of(F.col("x"), F.col("y")).alias("aoi"))
+    return samples(spark, sf_dir).select("event_id", sc.area_of(F.col("x"), F.col("y"), F.col("role"), SAMPLE_AREAS).alias("aoi"))
 
 
 @query(S + """select event_id, round(u, 5) as u, round(v, 5) as v, round(x, 5) as x from
@@ -80,9 +80,16 @@ def clean_map_coords(spark, sf_dir):
     return rows.select("event_id", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"), F.round(x, 5).alias("x"))
 
 
-@query(S + "select event_id, strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as iso, (t * 10000 + 116444736000000000) // 10000 - 11644473600000 as ms from s")
+@query(S + "select event_id, strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as iso, (t * 10000 + event_id * 7919 % 10000 + 116444736000000000) // 10000 - 11644473600000 as ms from s")
 def clean_iso_time(spark, sf_dir):
-    return samples(spark, sf_dir).select("event_id", sc.iso_time(F.col("t")).alias("iso"), sc.filetime_ms(F.col("t") * 10000 + 116444736000000000).alias("ms"))
+    ticks = F.col("t") * 10000 + F.col("event_id") * 7919 % 10000 + 116444736000000000
+    return samples(spark, sf_dir).select("event_id", sc.iso_time(F.col("t")).alias("iso"), sc.filetime_ms(ticks).alias("ms"))
+
+
+@query(S + "select event_id, case when dyad % 3 = 0 then t else cast(round_even(t + (dyad % 3) * 1.25::double, 0) as bigint) end as t from (select event_id, dyad, t * 1 as t from s)")
+def clean_clock_shift(spark, sf_dir):
+    """Heart-rate times moved by their dyad's offset, halves to the even side."""
+    return samples(spark, sf_dir).select("event_id", sc.shifted(F.col("t"), F.col("dyad") % 3 * 1.25).alias("t"))
 
 
 # ---- joins
@@ -233,7 +240,7 @@ p as (select dyad, trial, role, c, c * 1.0 / sum(c) over (partition by dyad, tri
 select dyad, trial, role, cast(sum(c) as bigint) as transitions, round(-sum(pij * log2(pc + 1e-12)), 6) + 0.0 as entropy from p group by dyad, trial, role""")
 def agg_transition_entropy(spark, sf_dir):
     w = Window.partitionBy(*SERIES).orderBy("t", "event_id")
-    rows = samples(spark, sf_dir).withColumn("aoi", sc.area_of(F.col("x"), F.col("y"))).withColumn("prev", F.lag("aoi").over(w))
+    rows = samples(spark, sf_dir).withColumn("aoi", sc.area_of(F.col("x"), F.col("y"), F.col("role"), SAMPLE_AREAS)).withColumn("prev", F.lag("aoi").over(w))
     counts = rows.where("prev <> aoi").groupBy(*SERIES, "prev", "aoi").agg(F.count(F.lit(1)).alias("c"))
     joint, given = F.col("c") / F.sum("c").over(Window.partitionBy(*SERIES)), F.col("c") / F.sum("c").over(Window.partitionBy(*SERIES, "prev"))
     h = counts.withColumn("h", -joint * F.log2(given + 1e-12))
@@ -255,10 +262,10 @@ def agg_rollup_mode_difficulty(spark, sf_dir):
     return rows.select(F.coalesce("event_type", F.lit("all")).alias("mode"), F.coalesce(F.col("trial").cast("string"), F.lit("all")).alias("trial"), "n", "mean")
 
 
-@query(S + """select event_type, round(avg(x) filter (trial = 3), 7) as t3, round(avg(x) filter (trial = 5), 7) as t5, round(avg(x) filter (trial = 8), 7) as t8 from s group by event_type""")
+@query(S + f"select event_type, {', '.join(f'round(avg(x) filter (trial = {k}), 7) as t{k}' for k in range(3, 9))} from s group by event_type")
 def agg_pivot(spark, sf_dir):
-    wide = samples(spark, sf_dir).groupBy("event_type").pivot("trial", [3, 5, 8]).agg(F.avg("x"))
-    return wide.select("event_type", *(F.round(str(k), 7).alias(f"t{k}") for k in (3, 5, 8)))
+    wide = samples(spark, sf_dir).groupBy("event_type").pivot("trial", list(range(3, 9))).agg(F.avg("x"))
+    return wide.select("event_type", *(F.round(str(k), 7).alias(f"t{k}") for k in range(3, 9)))
 
 
 MAP_SQL = "m as (select *, dyad % 12 as map from (select dyad, trial, avg(x) as score, min(y) as low, count(*) as n from s group by dyad, trial))"
@@ -279,8 +286,9 @@ def agg_map_difficulty(spark, sf_dir):
 
 @query(S + """, o as (select dyad, trial, list(t order by t) as l from s group by dyad, trial) select dyad, trial, l[len(l) // 2 + 1] as upper_median, list_max(l) - list_min(l) as spread from o""")
 def agg_upper_median(spark, sf_dir):
-    rows = samples(spark, sf_dir).groupBy(*TRIAL).agg(F.sort_array(F.collect_list("t")).alias("l"))
-    return rows.select(*TRIAL, F.element_at("l", F.expr("cast(size(l) div 2 + 1 as int)")).alias("upper_median"), (F.array_max("l") - F.array_min("l")).alias("spread"))
+    w = Window.partitionBy(*TRIAL)
+    rows = samples(spark, sf_dir).select(*TRIAL, "t", F.row_number().over(w.orderBy("t")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    return rows.groupBy(*TRIAL).agg(F.max(F.when(F.expr("k = n div 2 + 1"), F.col("t"))).alias("upper_median"), (F.max("t") - F.min("t")).alias("spread"))
 
 
 # ---- windows
@@ -312,13 +320,30 @@ def win_rolling(spark, sf_dir):
     return samples(spark, sf_dir).select("event_id", F.round(mean, 7).alias("mean5"), F.round(sd, 5).alias("sd4"))
 
 
-@query(S + """, b as (select dyad, trial, least(t // 86400000, 4) as win, count(*) as n, sum(x) as total from s group by all), g as (select distinct dyad, trial, unnest(range(0, 5)) as win from s)
-select dyad, trial, cast(win as bigint) as win, coalesce(n, 0) as n, round(coalesce(total, 0), 4) as total from g left join b using (dyad, trial, win)""")
+PACE_SQL = """e as (select dyad, trial, min(t) as a, greatest(1, (max(t) - min(t)) // 86400000) as n from s group by all having max(t) > min(t)),
+b as (select s.dyad, s.trial, (t - a) // 86400000 as win, count(*) as n, sum(x) as total from s join e on s.dyad = e.dyad and s.trial = e.trial group by all),
+g as (select dyad, trial, unnest(range(0, n)) as win from e), pace as (select dyad, trial, win, coalesce(n, 0) as n, coalesce(total, 0) as total from g left join b using (dyad, trial, win))"""
+
+
+def pace_windows(spark, sf_dir) -> DataFrame:
+    """(TRIAL, win, n, total): whole windows of a day from a trial's first sample
+    to its last (one at least); the tail beyond them is in none."""
+    rows = samples(spark, sf_dir)
+    ends = rows.groupBy(*TRIAL).agg(F.min("t").alias("_a"), F.max("t").alias("_b")).where("_b > _a").withColumn("_n", F.greatest(F.lit(1), F.expr("(_b - _a) div 86400000")))
+    spine = ends.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(*TRIAL, "win")
+    sums = rows.join(ends, TRIAL).withColumn("win", F.expr("(t - _a) div 86400000")).groupBy(*TRIAL, "win").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+    return spine.join(sums, [*TRIAL, "win"], "left").select(*TRIAL, "win", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+@query(S + f", {PACE_SQL} select dyad, trial, win, n, round(total, 4) as total from pace")
 def win_pace(spark, sf_dir):
-    rows = samples(spark, sf_dir).withColumn("win", F.least(F.expr("t div 86400000"), F.lit(4)))
-    spine = rows.select(*TRIAL).distinct().withColumn("win", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>")))
-    sums = rows.groupBy(*TRIAL, "win").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
-    return spine.join(sums, [*TRIAL, "win"], "left").select(*TRIAL, "win", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
+    return pace_windows(spark, sf_dir).withColumn("total", F.round("total", 4))
+
+
+@query(S + f", {PACE_SQL} select dyad, trial, count(*) as windows, round(avg(n), 6) as mean, round(case when count(*) > 1 then regr_slope(n, win) end, 6) + 0.0 as trend from pace group by dyad, trial")
+def win_pace_trend(spark, sf_dir):
+    rows = pace_windows(spark, sf_dir).withColumn("w", F.col("win").cast("double"))
+    return rows.groupBy(*TRIAL).agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg("n"), 6).alias("mean"), (F.round(sc.slope(F.col("n"), F.col("w")), 6) + 0.0).alias("trend"))
 
 
 @query(S + """select dyad, trial, third, count(*) as n, round(avg(x), 7) as mean from s, (values (1, 0, 144000000), (2, 144000000, 288000000), (3, 288000000, 432000000)) v(third, a, b) where t between a and b group by dyad, trial, third""")
@@ -346,7 +371,7 @@ def win_gaps(spark, sf_dir):
 select dyad, trial, role, aoi, count(*) as n, count(*) filter (seen > 0 and prev <> aoi) as revisits, min(t) as first_t, round(count(*) * 1.0 / sum(count(*)) over (partition by dyad, trial, role), 6) as share from a group by dyad, trial, role, aoi""")
 def win_revisits(spark, sf_dir):
     w = Window.partitionBy(*SERIES).orderBy("t", "event_id")
-    rows = samples(spark, sf_dir).withColumn("aoi", sc.area_of(F.col("x"), F.col("y"))).withColumn("prev", F.lag("aoi").over(w))
+    rows = samples(spark, sf_dir).withColumn("aoi", sc.area_of(F.col("x"), F.col("y"), F.col("role"), SAMPLE_AREAS)).withColumn("prev", F.lag("aoi").over(w))
     rows = rows.withColumn("seen", F.row_number().over(Window.partitionBy(*SERIES, "aoi").orderBy("t", "event_id")) - 1)
     found = rows.groupBy(*SERIES, "aoi").agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("seen") > 0) & (F.col("prev") != F.col("aoi")), 1)).alias("revisits"), F.min("t").alias("first_t"))
     return found.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*SERIES)), 6))

@@ -13,7 +13,7 @@ from tandemlab.plans.advanced import SCORE_SQL, scored
 from tandemlab.plans.basics import AREA_SQL, SERIES, STEP_SQL, TRIAL, S, raw_values, steps, trials, unique_times
 from tandemlab.plans.models import feature_table
 from tandemlab.plans.registry import query
-from tandemlab.sources.adapters import read, samples
+from tandemlab.sources.adapters import SAMPLE_AREAS, read, samples
 
 
 @query(S + """, g as (select dyad, trial, t // 86400000 as stroke, min(x) as x0, max(x) as x1, max(y) as y1, count(*) as n from s group by all having count(*) >= 2), m as (select *, max(x1) over (partition by dyad, trial) as mx, max(y1) over (partition by dyad, trial) as my from g)
@@ -159,7 +159,7 @@ def geo_pupil(spark, sf_dir):
 @query(S + f"select dyad, trial, role, round(avg(case when event_type = 'error' then 1.0 else 0.0 end), 6) as loss, round(avg(case when y > 0 then 1.0 else 0.0 end), 6) as valid, round(stddev_pop(y), 5) as head_sd, count(distinct {AREA_SQL}) as areas from s group by dyad, trial, role")
 def geo_quality(spark, sf_dir):
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    rows = samples(spark, sf_dir).withColumn("aoi", sc.area_of(F.col("x"), F.col("y")))
+    rows = samples(spark, sf_dir).withColumn("aoi", sc.area_of(F.col("x"), F.col("y"), F.col("role"), SAMPLE_AREAS))
     return rows.groupBy(*SERIES).agg(share(F.col("event_type") == "error").alias("loss"), share(F.col("y") > 0).alias("valid"), F.round(F.stddev_pop("y"), 5).alias("head_sd"), F.countDistinct("aoi").alias("areas"))
 
 

@@ -10,6 +10,13 @@ from tandemlab.functions.scalars import safe_long
 ORIGIN = "2024-01-01"
 
 
+#: The areas of a screen in the units of the samples below.
+SAMPLE_AREAS = {
+    "director": (("timer", 0, 0, 120, 120), ("map", 100, 100, 300, 700), ("toolbar", 280, 0, 420, 900)),
+    "matcher": (("timer", 0, 0, 120, 120), ("map", 80, 100, 280, 700), ("toolbar", 280, 0, 440, 900)),
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,6 +23,11 @@ def test_scalars(spark):
     rows = spark.createDataFrame([(v,) for v in ("1.9", "-1.9", "", "x", "inf", "nan", None)], "v string")
     assert [tuple(r) for r in rows.select(sc.safe_double(F.col("v")), sc.safe_long(F.col("v"))).collect()] == [(1.9, 1), (-1.9, -1), *[(None, None)] * 5]
     assert one(spark.range(1).select(sc.filetime_ms(F.lit(116444736000000000) + 12345).alias("t"))).t == 1
+    assert one(spark.range(1).select(sc.filetime_ms(F.lit(116444736000009999)).alias("t"))).t == 0
+    assert [r[0] for r in spark.createDataFrame([("T01",), ("t7",), (" 3 ",), ("warm-up",), ("Tx",), ("",), (None,)], "v string").select(sc.trial_label(F.col("v"))).collect()] == ["1", "7", "3", "warm-up", "x", "", ""]
+    assert [r[0] for r in spark.createDataFrame([(1, 0.5), (2, 0.5), (2, 0.0)], "t long, o double").select(sc.shifted(F.col("t"), F.col("o"))).collect()] == [2, 2, 2]
+    seen = spark.createDataFrame([(600.0, 400.0, "matcher"), (600.0, 400.0, "director"), (600.0, 400.0, None), (650.0, 30.0, "director"), (None, 1.0, "matcher"), (1200.0, 10.0, "matcher")], "x double, y double, role string")
+    assert [r[0] for r in seen.select(sc.area_of(F.col("x"), F.col("y"), F.col("role"))).collect()] == ["map", "other", "other", "timer", "missing", "toolbar"]
     assert one(spark.range(1).select(sc.iso_time(F.lit(1)).alias("t"))).t == "1970-01-01T00:00:00.001Z"
     pupils = spark.createDataFrame([(3.0, 4.0), (3.0, -1.0), (None, 2.0), (None, 0.0)], "l double, r double")
     assert [r[0] for r in pupils.select(sc.mean_pupil(F.col("l"), F.col("r"))).collect()] == [3.5, 3.0, 2.0, None]
