@@ -28,6 +28,29 @@ def session_window(events: DataFrame, anchor: Column, keys: list[str], before: i
     return events.join(bounds, keys).where(F.col(t).between(F.col("_a") - before, F.col("_b") + after)).drop("_a", "_b")
 
 
+def session_bounds(events: DataFrame, keys: list[str], first_hr: Column, authoritative: Column, t: str = "t") -> DataFrame:
+    """(keys, start, end): an hour before to three after the first heart-rate time;
+    without one (or 0), four hours before to one after the last authoritative
+    event; null without either."""
+    hour = 3600000
+    found = events.groupBy(*keys).agg(F.min(F.when(first_hr > 0, first_hr)).alias("_hr"), F.max(F.when(authoritative, F.col(t))).alias("_last"))
+    return found.select(*keys, F.coalesce(F.col("_hr") - hour, F.col("_last") - 4 * hour).alias("start"), F.coalesce(F.col("_hr") + 3 * hour, F.col("_last") + hour).alias("end"))
+
+
+def clock_offset(measured: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, offset): the upper median of the director's clock less the matcher's.
+    measured: (keys, scope, role, peer, samples, offset) within the session.
+    Measurements without samples don't count; those of the session's own file
+    (scope 0) go before those of its trials (1); 0 without any."""
+    signed = F.when((F.col("role") == "matcher") & (F.col("peer") == "director"), F.col("offset")).when((F.col("role") == "director") & (F.col("peer") == "matcher"), -F.col("offset"))
+    rows = measured.where("samples > 0 and offset is not null").withColumn("_o", signed).where("_o is not null")
+    scope = Window.partitionBy(*keys)
+    rows = rows.withColumn("_scope", F.min("scope").over(scope)).where("scope = _scope")
+    rows = rows.withColumn("_k", F.row_number().over(scope.orderBy("_o"))).withColumn("_n", F.count(F.lit(1)).over(scope))
+    middle = rows.where("_k = _n div 2 + 1").select(*keys, F.col("_o").alias("offset"))
+    return measured.select(*keys).distinct().join(middle, keys, "left").select(*keys, F.coalesce("offset", F.lit(0.0)).alias("offset"))
+
+
 def last_of(value: Column | str, where: Column, pos: Column | str) -> Column:
     """The value of the last row in file order that fulfils where."""
     return F.max_by(value, F.when(where, pos))
@@ -72,17 +95,21 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def kinematics(points: DataFrame, keys: list[str], order: list[str], least_ms: int = 1) -> DataFrame:
-    """Per row of (keys, t, x, y): speed (steps longer than least_ms), its
-    change, turning angle and curvature."""
+    """Per row of (keys, t, x, y): heading and speed of the step to it (a speed,
+    if the step takes longer than least_ms), the acceleration from that speed to
+    the next one over the step's time, and the curvature at the row before."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    lag, lead = lambda c: F.lag(c).over(w), lambda c: F.lead(c).over(w)
+    lag = lambda c: F.lag(c).over(w)
     rows = points.withColumn("_dt", F.col("t") - lag("t")).withColumn("_dx", F.col("x") - lag("x")).withColumn("_dy", F.col("y") - lag("y"))
-    rows = rows.withColumn("speed", F.when(F.col("_dt") > least_ms, F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) / F.col("_dt")))
-    rows = rows.withColumn("acceleration", F.when(F.col("_dt") > least_ms, (F.col("speed") - lag("speed")) / F.col("_dt")))
-    x1, y1 = (lead("x") - lag("x")) / 2, (lead("y") - lag("y")) / 2
-    x2, y2 = lead("x") - 2 * F.col("x") + lag("x"), lead("y") - 2 * F.col("y") + lag("y")
-    curvature = F.abs(x1 * y2 - y1 * x2) / F.greatest(F.pow(x1 * x1 + y1 * y1, F.lit(1.5)), F.lit(1e-8))
-    return rows.withColumn("curvature", curvature).withColumn("heading", heading(F.col("_dx"), F.col("_dy"))).drop("_dt", "_dx", "_dy")
+    timed = F.col("_dt") > least_ms
+    rows = rows.withColumn("speed", F.when(timed, F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) / F.col("_dt")))
+    # the next speed there is, however many steps without one lie between
+    ahead = F.first("speed", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("acceleration", F.when(timed, (ahead - F.col("speed")) / F.col("_dt")))
+    dx, dy = lag("_dx"), lag("_dy")
+    bend = F.abs(dx * (F.col("_dy") - dy) - dy * (F.col("_dx") - dx))
+    rows = rows.withColumn("curvature", bend / F.greatest(F.pow(dx * dx + dy * dy, F.lit(1.5)), F.lit(1e-8)))
+    return rows.withColumn("heading", heading(F.col("_dx"), F.col("_dy"))).drop("_dt", "_dx", "_dy")
 
 
 def workload(long: DataFrame, signs: DataFrame, keys: list[str], group: str) -> DataFrame:

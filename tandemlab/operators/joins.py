@@ -65,12 +65,14 @@ def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius: fl
     return l.join(r, on & (apart < radius * radius), "left_semi").select(ident)
 
 
-def nearest(points: DataFrame, route: DataFrame, ident: str, place: str) -> DataFrame:
-    """(ident, distance, place) of the nearest route point, the first on ties.
+def nearest(points: DataFrame, route: DataFrame, ident: str, place: str, digits: int | None = None) -> DataFrame:
+    """(ident, distance, place) of the nearest route point, the first on ties
+    (distances are rounded to `digits` first, if given).
     The route is a fixed drawing: callers give a table of known, small size,
     which meets each point inside its task as an array."""
     whole = route.agg(F.sort_array(F.collect_list(F.struct(place, F.col("x").alias("rx"), F.col("y").alias("ry")))).alias("_route"))
-    far = F.transform("_route", lambda q: F.struct(F.sqrt(F.pow(F.col("x") - q["rx"], 2) + F.pow(F.col("y") - q["ry"], 2)).alias("distance"), q[place].alias(place)))
+    rounded = (lambda d: d) if digits is None else (lambda d: F.round(d, digits))
+    far = F.transform("_route", lambda q: F.struct(rounded(F.sqrt(F.pow(F.col("x") - q["rx"], 2) + F.pow(F.col("y") - q["ry"], 2))).alias("distance"), q[place].alias(place)))
     best = F.array_min(far)
     return points.join(F.broadcast(whole)).select(ident, best["distance"].alias("distance"), best[place].alias(place))
 

@@ -37,6 +37,15 @@ def on_grid(df: DataFrame, keys: list[str], t: str, value: str, start: Column, e
     return both.where("_g = 1").select(*keys, t, F.coalesce(between, F.col("_b.v"), F.col("_a.v")).alias("v"))
 
 
+def on_fixed_grid(df: DataFrame, keys: list[str], t: str, value: str, start: int, end: int, step: int) -> DataFrame:
+    """(keys, t, v): linear interpolation at start, start + step, .. below end;
+    null before a series' first time and after its last."""
+    ends = df.groupBy(*keys).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
+    grid = on_grid(df, keys, t, value, F.max(F.lit(start).cast("long")), F.max(F.lit(end).cast("long")), step, inclusive=False)
+    inside = F.col(t).between(F.col("_first"), F.col("_last"))
+    return grid.join(ends, keys).select(*keys, t, F.when(inside, F.col("v")).alias("v"))
+
+
 def recurrences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], radius: Column, theiler: int | None) -> DataFrame:
     """(keys, i, j): pairs of points of two indexed series (i, columns, n) within
     radius (over both sides' columns as a.*, b.*) by Euclidean distance; pairs

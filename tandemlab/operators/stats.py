@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +58,38 @@ def mann_whitney(df: DataFrame, score: str, label: str, keys: list[str] | None =
     return sums.select(*keys, "u", F.round(z, 6).alias("z"))
 
 
+#: The polynomial of the normal tail, right to 1.5e-7.
+TAIL = (0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429))
+
+
+def two_sided_p(z: Column) -> Column:
+    """2 (1 - Phi(|z|)) by a polynomial in 1 / (1 + c |z|)."""
+    t = 1 / (1 + TAIL[0] * F.abs(z))
+    total = F.lit(0.0)
+    for b in reversed(TAIL[1]):
+        total = (total + b) * t
+    return 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * total
+
+
+def stars(p: Column) -> Column:
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+def stability(shares: DataFrame, reference: DataFrame) -> DataFrame:
+    """Mean co-assignment (a, b, share; pairs that never met are not there) of
+    pairs within a cluster of the reference (item, cluster) and between two."""
+    pair = shares.join(reference.select(F.col("item").alias("a"), F.col("cluster").alias("_ca")), "a").join(reference.select(F.col("item").alias("b"), F.col("cluster").alias("_cb")), "b")
+    same = F.col("_ca") == F.col("_cb")
+    sums = pair.agg(F.sum(F.when(same, F.col("share"))).alias("_in"), F.sum(F.when(~same, F.col("share"))).alias("_out"))
+    sizes = reference.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.sum("_n")
+    inside = F.sum(F.col("_n") * (F.col("_n") - 1) / 2)
+    pairs = sizes.agg(inside.alias("_k"), (n * (n - 1) / 2 - inside).alias("_m"))
+    mean = lambda total, count: F.coalesce(F.try_divide(F.coalesce(F.col(total), F.lit(0.0)), F.col(count)), F.lit(0.0))
+    # one row each
+    return sums.crossJoin(F.broadcast(pairs)).select(F.round(mean("_in", "_k"), 6).alias("within"), F.round(mean("_out", "_m"), 6).alias("between"))
+
+
 def cohen_d(df: DataFrame, value: str, label: str, keys: list[str] | None = None, variant: str = "pooled") -> DataFrame:
     """variant: pooled (ddof 1, weighted), mean0 and mean1 (root of the mean
     variance, ddof 0 and 1)."""

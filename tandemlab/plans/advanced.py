@@ -467,9 +467,12 @@ def st_cohen_d(spark, sf_dir):
 
 @query(SCORE_SQL + """, r as (select lang, score, label, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2.0 as k, count(*) over (partition by lang, score) as c from o),
 u as (select lang, sum(k) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0 as u, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0, sum(c * c - 1.0) as ties from r group by lang)
-select lang, u, round(sign(u - n1 * n0 / 2.0) * greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / nullif((n1 + n0) * (n1 + n0 - 1.0), 0))), 0), 6) as z from u""")
+z as (select lang, u, round(sign(u - n1 * n0 / 2.0) * greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / nullif((n1 + n0) * (n1 + n0 - 1.0), 0))), 0), 6) as z from u),
+p as (select *, 1 / (1 + 0.2316419 * abs(z)) as t from z), q as (select lang, u, z, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * ((((1.330274429 * t - 1.821255978) * t + 1.781477937) * t - 0.356563782) * t + 0.319381530) * t, 6) as p from p)
+select *, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars from q""")
 def st_mwu(spark, sf_dir):
-    return st.mann_whitney(scored(spark, sf_dir), "score", "label", ["lang"])
+    found = st.mann_whitney(scored(spark, sf_dir), "score", "label", ["lang"]).withColumn("p", F.round(st.two_sided_p(F.col("z")), 6))
+    return found.withColumn("stars", st.stars(F.col("p")))
 
 
 @query(SCORE_SQL + """, w as (select source, count(*) as n, avg(label * 1.0) as p from o group by source), m as (select *, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) as c, 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n) as h from w)
@@ -536,6 +539,29 @@ def st_coassign(spark, sf_dir):
     return st.co_assignment(labels, "seed", "item", "c")
 
 
+STABLE_SQL = """l as (select trial as seed, dyad as item, cast(floor(avg(x) / 20) as bigint) as c from s group by all), ref as (select item, c from l where seed = 3),
+h as (select a.item as a, b.item as b, round(count(*) * 1.0 / (select count(distinct seed) from l), 6) as share from l a join l b on a.seed = b.seed and a.c = b.c and a.item < b.item group by 1, 2),
+p as (select x.item as a, y.item as b, x.c = y.c as same from ref x join ref y on x.item < y.item)"""
+
+
+@query(S + f", {STABLE_SQL} select round(coalesce(avg(coalesce(share, 0)) filter (same), 0), 6) as within, round(coalesce(avg(coalesce(share, 0)) filter (not same), 0), 6) as between from p left join h using (a, b)")
+def st_stability(spark, sf_dir):
+    """Clusters of dyads in six trials, the first of which is the reference."""
+    labels = samples(spark, sf_dir).groupBy(F.col("trial").alias("seed"), F.col("dyad").alias("item")).agg(F.floor(F.avg("x") / 20).alias("cluster"))
+    return st.stability(st.co_assignment(labels, "seed", "item", "cluster"), labels.where("seed = 3").select("item", "cluster"))
+
+
+@query(VEC_SQL + """, i as (select feature, ['drawing', 'gaze', 'hr', 'speech'][cast(feature % 4 + 1 as int)] as modality, round(abs(avg(v)), 6) as importance from e group by feature)
+select modality, round(sum(importance), 5) as total, count(*) as n_features, arg_min(feature, (-importance, feature)) as max_feature, max(importance) as max_importance from i group by modality""")
+def st_modality_importance(spark, sf_dir):
+    """Importances (here the size of a dimension's mean) by modality."""
+    names = F.array(*map(F.lit, ["drawing", "gaze", "hr", "speech"]))
+    rows = vectors(spark, sf_dir).groupBy("feature").agg(F.round(F.abs(F.avg("v")), 6).alias("importance"))
+    rows = rows.withColumn("modality", F.element_at(names, (F.col("feature") % 4 + 1).cast("int")))
+    best = F.struct(-F.col("importance"), F.col("feature"))
+    return rows.groupBy("modality").agg(F.round(F.sum("importance"), 5).alias("total"), F.count(F.lit(1)).alias("n_features"), F.min_by("feature", best).alias("max_feature"), F.max("importance").alias("max_importance"))
+
+
 @query(SCORE_SQL + """, p as (select perm, o.source, o.doc_id, row_number() over (partition by perm, source order by doc_id) as a, row_number() over (partition by perm, source order by md5('7:' || perm || ':' || doc_id), doc_id) as b, label, score from o, (select unnest(range(0, 200)) as perm)),
 m as (select x.perm, x.score, y.label from p x join p y on x.perm = y.perm and x.source = y.source and x.a = y.b),
 r as (select perm, label, rank() over (partition by perm order by score) + (count(*) over (partition by perm, score) - 1) / 2.0 as k from m)

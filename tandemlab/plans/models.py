@@ -9,7 +9,7 @@ from tandemlab.functions import scalars as sc
 from tandemlab.operators import grouped, learn
 from tandemlab.operators import stats as st
 from tandemlab.plans.advanced import users
-from tandemlab.plans.basics import SERIES, TRIAL
+from tandemlab.plans.basics import SERIES, TRIAL, S
 from tandemlab.plans.registry import query
 from tandemlab.sources.adapters import read, samples
 from tandemlab.streaming import markers
@@ -33,6 +33,120 @@ def ml_cv(spark, sf_dir):
     return pooled(learn.cross_validate(table, folds, "dyad", "vec_id", "features", "label"), ["seed"])
 
 
+LONG_SQL = "l as (select vec_id, vec_id % 40 as dyad, (label < 5)::int as label, i as feature, round(cast(embedding[i] as double), 6) as v from embeddings, (select unnest(range(1, 65)) as i))"
+
+
+def fold_sql(seed: str) -> str:
+    return f"cast(('0x' || substr(md5({seed} || ':' || dyad), 1, 8))::bigint % 5 as int)"
+
+
+def centroid_sql(keys: str, rows: str) -> str:
+    """Scores o(keys, vec_id, fold, label, score) of rows(keys, vec_id, fold, feature, v, label)."""
+    rest = ", ".join(f"sum({c}) over (partition by {keys}, feature) - {c} as {c}" for c in ("n1", "n0", "s1", "s0", "q"))
+    return f"""sums as (select {keys}, feature, fold, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0, coalesce(sum(v) filter (label = 1), 0) as s1, coalesce(sum(v) filter (label = 0), 0) as s0, sum(v * v) as q from {rows} group by all),
+rest as (select {keys}, feature, fold, {rest} from sums), fitted as (select {keys}, feature, fold, s1 / n1 as c1, s0 / n0 as c0, q / (n1 + n0) - pow((s1 + s0) / (n1 + n0), 2) as var from rest where n1 > 0 and n0 > 0),
+o as (select {keys}, vec_id, fold, label, round(sum((pow(v - c0, 2) - pow(v - c1, 2)) / var), 6) as score from {rows} join fitted using ({keys}, feature, fold) where var > 1e-12 group by all)"""
+
+
+def auc_sql(name: str, keys: str, source: str = "o") -> str:
+    part = f"partition by {keys}" if keys else ""
+    group = f" group by {keys}" if keys else ""
+    pick = f"{keys}, " if keys else ""
+    return f"""{name}r as (select {pick}label, rank() over ({part} order by score) + (count(*) over ({f"{part}, " if keys else "partition by "}score) - 1) / 2.0 as k from {source}),
+{name} as (select {pick}round((sum(k) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0) / nullif(count(*) filter (label = 1) * count(*) filter (label = 0), 0), 8) as auc from {name}r{group})"""
+
+
+def long_table(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 40).alias("dyad"), (F.col("label") < 5).cast("int").alias("label"), F.posexplode("embedding").alias("feature", "v"))
+    return rows.withColumn("feature", F.col("feature") + 1).withColumn("v", F.round(F.col("v").cast("double"), 6))
+
+
+@query(f"""with {LONG_SQL}, f as (select *, {fold_sql("seed")} as fold from l, (select unnest(range(0, 5)) as seed)), {centroid_sql("seed", "f")}, {auc_sql("a", "seed, fold")}, {auc_sql("b", "seed")},
+x as (select count(*) as folds, round(avg(auc), 6) as fold_mean, round(stddev_samp(auc), 6) as fold_sd from a where auc is not null), y as (select count(*) as seeds, round(avg(auc), 6) as seed_mean, round(stddev_samp(auc), 6) as seed_sd from b where auc is not null) select * from x, y""")
+def ml_cv_summary(spark, sf_dir):
+    """Five folds by group, five seeds, nearest centroids: AUC per fold and pooled per seed."""
+    rows = long_table(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    found = learn.centroid_scores(rows.withColumn("fold", learn.hashed_folds("dyad", "seed")), ["seed"], "vec_id")
+    return learn.cv_summary(found, "score", "label", "seed", "fold")
+
+
+PERMS = 200
+
+
+@query(f"""with {LONG_SQL}, d as (select distinct vec_id, dyad, label from l), p as (select perm, vec_id, dyad, label, row_number() over (partition by perm, dyad order by vec_id) as a, row_number() over (partition by perm, dyad order by md5('7:' || perm || ':' || vec_id), vec_id) as b from d, (select unnest(range(0, {PERMS})) as perm)),
+m as (select x.perm, x.vec_id, x.dyad, y.label from p x join p y on x.perm = y.perm and x.dyad = y.dyad and x.a = y.b union all select -1, vec_id, dyad, label from d),
+f as (select perm, vec_id, {fold_sql("0")} as fold, feature, v, m.label from m join l using (vec_id, dyad)), {centroid_sql("perm", "f")}, {auc_sql("a", "perm")}
+select max(auc) filter (perm = -1) as auc, round(median(auc) filter (perm >= 0), 6) as null_median, round(quantile_cont(auc, 0.95) filter (perm >= 0), 6) as null_p95, round(count(*) filter (perm >= 0 and auc >= (select auc from a where perm = -1)) * 1.0 / count(*) filter (perm >= 0), 6) as p, count(*) filter (perm >= 0) as n_perm from a""")
+def ml_perm_null(spark, sf_dir):
+    """The model is fitted anew on each of 200 re-dealings of labels within groups."""
+    rows = long_table(spark, sf_dir)
+    each = rows.where("feature = 1").select("vec_id", "dyad", "label")
+    dealt = st.shuffled_within(each, "dyad", "vec_id", "label", PERMS, 7).unionByName(each.select(F.lit(-1).alias("perm"), "vec_id", "label"))
+    plain = rows.drop("label").withColumn("_seed", F.lit(0)).withColumn("fold", learn.hashed_folds("dyad", "_seed")).drop("_seed")
+    found = st.roc_auc(learn.centroid_scores(plain.join(dealt, "vec_id"), ["perm"], "vec_id"), "score", "label", ["perm"])
+    real = found.where("perm = -1").select(F.col("auc").alias("real"))
+    null = F.when(F.col("perm") >= 0, F.col("auc"))
+    # one row
+    both = found.crossJoin(F.broadcast(real))
+    return both.agg(
+        F.max("real").alias("auc"), F.round(F.median(null), 6).alias("null_median"), F.round(F.percentile(null, F.lit(0.95)), 6).alias("null_p95"), F.round(F.count(F.when(null >= F.col("real"), 1)) / F.count(null), 6).alias("p"), F.count(null).alias("n_perm")
+    )
+
+
+#: Feature sets by name: the dimensions from .. to, in turn; none for the null model.
+SETS = {
+    "null": (), "one": ((1, 5),), "two": ((6, 10),), "one + two": ((1, 10),), "drawing": ((11, 20),), "base": ((21, 30),), "base + b": ((21, 36),), "base + b + c": ((21, 42),), "base + b + c + team": ((21, 48),), "passive": ((21, 64),),
+    "team": ((43, 48),), "windowed": ((49, 64),), "coherence": ((37, 42),), "no drawing": ((1, 10), (21, 64)), "all": ((1, 64),),
+}
+SETS_SQL = "sets as (" + " union all ".join(f"select '{n}' as set_name, unnest(range({a}, {b + 1})) as feature" for n, spans in SETS.items() for a, b in spans) + ")"
+
+
+@query(f"""with {LONG_SQL}, {SETS_SQL}, f as (select set_name, vec_id, {fold_sql("0")} as fold, feature, v, label from l join sets using (feature)), {centroid_sql("set_name", "f")}, {auc_sql("a", "set_name")},
+k as (select set_name, score, count(*) as c, sum(label) as p from o group by all), t as (select *, sum(p) over w as tp, sum(c) over w as al, sum(p) over (partition by set_name) as pos from k window w as (partition by set_name order by score desc)),
+ap as (select set_name, round(sum(p * 1.0 / pos * tp / al), 8) as ap from t group by set_name), n as (select set_name, count(*) as n_features from sets group by set_name)
+select set_name, n_features, auc, ap from n join a using (set_name) join ap using (set_name) union all select 'null', 0, 0.5, round(avg(label), 8) from (select distinct vec_id, label from l)""")
+def ml_feature_sets(spark, sf_dir):
+    """AUC and average precision of fifteen sets; the empty one has 0.5 and the prevalence."""
+    rows = long_table(spark, sf_dir).withColumn("_seed", F.lit(0)).withColumn("fold", learn.hashed_folds("dyad", "_seed"))
+    names = [(n, k) for n, spans in SETS.items() for a, b in spans for k in range(a, b + 1)]
+    sets = spark.createDataFrame(names, "set_name string, feature int")
+    # a few hundred rows, fixed by SETS
+    found = learn.centroid_scores(rows.join(F.broadcast(sets), "feature"), ["set_name"], "vec_id")
+    sizes = sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("n_features"))
+    scored = sizes.join(st.roc_auc(found, "score", "label", ["set_name"]), "set_name").join(st.average_precision(found, "score", "label", ["set_name"]), "set_name")
+    none = rows.where("feature = 1").agg(F.lit("null").alias("set_name"), F.lit(0).cast("long").alias("n_features"), F.lit(0.5).alias("auc"), F.round(F.avg("label"), 8).alias("ap"))
+    return scored.select("set_name", "n_features", "auc", "ap").unionAll(none)
+
+
+@query()
+def ml_learners(spark, sf_dir):
+    """Pooled AUC of each learner on five folds by group."""
+    table, out = feature_table(spark, sf_dir), None
+    folds = learn.fold_table(spark, table, "dyad", 5, [0])
+    for name in learn.LEARNERS:
+        row = pooled(learn.cross_validate(table, folds, "dyad", "vec_id", "features", "label", name), []).select(F.lit(name).alias("learner"), "auc")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query()
+def ml_kmeans_sweep(spark, sf_dir):
+    """Inertia and Euclidean silhouette of k from 2 to 6."""
+    out = None
+    for k, cost, rows in learn.kmeans_sweep(feature_table(spark, sf_dir), "features", "vec_id", [2, 3, 4, 5, 6]):
+        s = grouped.silhouettes(rows, "vec_id", "cluster", "scaled")
+        row = s.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 5).alias("silhouette")).select(F.lit(k).alias("k"), F.lit(round(cost, 3)).alias("inertia"), "silhouette")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query()
+def ml_pca_shares(spark, sf_dir):
+    """(component, share of the variance) of the first eight components."""
+    _, shares = learn.principal(feature_table(spark, sf_dir), "features", 8)
+    return spark.createDataFrame([(k + 1, round(v, 6)) for k, v in enumerate(shares)], "component int, share double")
+
+
 @query()
 def ml_leave_one_group_out(spark, sf_dir):
     table = feature_table(spark, sf_dir)
@@ -79,7 +193,10 @@ def ts_welch(spark, sf_dir):
     return grouped.hrv_frequency(rows, "user_id")
 
 
-@query()
+@query(S + """, p as (select distinct dyad, trial, role, x, y from s),
+e as (select a.dyad, a.trial, a.role, a.x * b.y - b.x * a.y as w from p a join p b on a.dyad = b.dyad and a.trial = b.trial and a.role = b.role and (a.x <> b.x or a.y <> b.y) where not exists (select 1 from p c where c.dyad = a.dyad and c.trial = a.trial and c.role = a.role
+  and ((b.x - a.x) * (c.y - a.y) < (b.y - a.y) * (c.x - a.x) or ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) and (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0)))),
+h as (select dyad, trial, role, sum(w) / 2 as area from e group by all) select dyad, trial, role, round(abs(coalesce(area, 0)), 3) as area from (select distinct dyad, trial, role from s) left join h using (dyad, trial, role)""")
 def geo_hull(spark, sf_dir):
     return grouped.hulls(samples(spark, sf_dir).select(*SERIES, "x", "y"), SERIES, "dyad long, trial int, role string")
 

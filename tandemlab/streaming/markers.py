@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemlab.functions.scalars import safe_double
@@ -31,6 +31,12 @@ def decode(markers: DataFrame, session: str | None = None, value: str = "value")
     return rows if session is None else rows.where((F.col("session") == session) | (F.col("session") == ""))
 
 
+def received_ms(stamp: Column, now: Column, local_clock: Column) -> Column:
+    """A stamp of the stream's clock (seconds) as the receiver's epoch time in
+    milliseconds, cut toward zero. now and local_clock are both read at receipt."""
+    return ((stamp + (now - local_clock)) * 1000).cast("long")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -76,7 +82,12 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a table, with its checkpoint in
     the shared folder, and read the table."""
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="stream-")
+    root = root.rstrip("/")
     path = f"{root}/stream-{uuid.uuid4().hex}"
     if mode == "complete":
         stream = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).outputMode("complete")
