@@ -8,7 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +24,27 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where the session has none
-    (tests on one machine), a temporary folder, set for the whole session."""
+    """The shared folder of spark.checkpoint.dir. A session that runs on this
+    machine alone may leave it unset: it then gets a temporary folder. On a
+    cluster an unset folder is an error, as executors share no local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tandemlab-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session is gone: its owner clears the folder
             return
 
@@ -46,15 +52,43 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, removed when the driver exits."""
+    path = f"{scratch_dir(spark)}/tandemlab/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared scratch folder and read it
     back: lineage ends there, lost executors cost nothing before it, and the
-    planner knows its size. The tables are removed when the driver exits."""
+    planner knows its size. The tables are removed when the driver exits, or by
+    forget()."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tandemlab/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tandemlab_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table of a frame that cut() made, when nothing will read it again."""
+    entry = (df.sparkSession, df._tandemlab_path)
+    if entry in _written:
+        _written.remove(entry)
+        _remove(*entry)
+
+
+def settled(stage: Callable[[], DataFrame], label: str) -> DataFrame:
+    """cut(stage(), label); the tables that the stage itself has cut go, now
+    that nothing will read them again."""
+    before = len(_written)
+    out = cut(stage(), label)
+    gone, _written[before:-1] = _written[before:-1], []
+    for spark, path in gone:
+        _remove(spark, path)
+    return out
 
 
 def worker_cache(name: str) -> dict:
@@ -91,6 +125,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be none of df's columns."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def numbered_copies(df: DataFrame, keys: list[str], chunk: int = 1024) -> DataFrame:
     """One row per row of df with its keys and `copy`, 0.. among rows equal in
     all keys. Rows are counted, not gathered, so a row repeated any number of
@@ -135,7 +176,8 @@ class WordTable:
     first[d] to first[d + 1]."""
 
     def __init__(self, column: pa.Array, lower: bool = False):
-        column = column.fill_null("").cast(pa.large_string())
+        if not pa.types.is_large_binary(column.type):
+            column = column.fill_null("").cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
         raw = column.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
