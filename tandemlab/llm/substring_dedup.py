@@ -2,17 +2,21 @@
 
 Words hash to 64 bits, and the minimiser of a window is the least hash of the
 8-word runs in it, so equal windows have equal minimisers. Consecutive windows
-with one minimiser travel as one packed string (their words) to the bucket of
-that minimiser, where the windows themselves are sorted and compared byte by
-byte. Minimisers of only one document are dropped first: a window that occurs
-in two documents gives its minimiser to both.
+with one minimiser travel as one packed string (their words, at most LONGEST
+windows) to the bucket of that minimiser, where the windows themselves are
+sorted and compared byte by byte. Minimisers of only one document are dropped
+first: a window that occurs in two documents gives its minimiser to both.
+
+Equal packed strings are one string with the least document that holds it, so
+copies of a document fill no bucket. A bucket of more than BUCKET different
+strings is split by the minimisers of longer runs (RUNS), which fewer strings
+share: its strings are cut into shorter ones and dealt anew. The longest run is
+the window itself, whose buckets hold one string each.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, run_hashes
+from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, forget, run_hashes
 
-WINDOW, RUN = 50, 8
-#: Minimisers that occur in more documents than this have their windows dealt
-#: out one by one, under a 128-bit digest, so that no bucket grows with a hot
-#: passage; all others meet as packed strings. A packed string has at most 92
-#: words, so a full bucket holds about 10 MB of them.
-HOT = 20_000
-#: Distinct packed strings whose windows are sorted at once (about 20 MB); a
-#: bucket of more is sorted in parts, windows dealt to parts by their bytes.
-SORTED = 2000
+WINDOW = 50
+#: Words of the runs whose least hash is the minimiser: at first, and in buckets that are too full.
+RUNS = (8, 32, 44, WINDOW)
+#: Windows of one packed string at most (113 words); longer runs of one
+#: minimiser are cut, with 49 words in both parts.
+LONGEST = 64
+#: Different strings of a bucket that are sorted at once: with LONGEST, at most
+#: 65,536 windows.
+BUCKET = 1024
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -44,14 +48,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def super_kmers(words: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+def super_kmers(words: np.ndarray, window: int = WINDOW, run: int = RUNS[0], longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """(first window of each super-k-mer, its minimiser) for one document's
     word hashes; the number of windows closes the first array."""
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(1, np.int64), np.zeros(0, np.uint64)
     least = sliding_min(run_hashes(words, run), window - run + 1)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    place = np.arange(n)
+    changes = np.concatenate([[True], least[1:] != least[:-1]])
+    since = place - np.maximum.accumulate(np.where(changes, place, 0))
+    starts = np.flatnonzero(since % longest == 0)
     return np.append(starts, n), least[starts]
 
 
@@ -79,68 +86,48 @@ def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers of the minimisers in the columns cold and hot: as packed
-    strings, or for hot ones as digests of each window."""
+    """The super-k-mers of the minimisers in the column wanted, as packed strings."""
     for part, table, hashes in _tables(batches):
-        mini, digest, key, rank, start, text = [], [], [], [], [], []
+        mini, key, start, windows, text = [], [], [], [], []
         data = table.data.tobytes()
         for d in range(part.num_rows):
             first, last = table.first[d], table.first[d + 1]
             starts, least = super_kmers(hashes[first:last])
-            cold, hot = (np.asarray(part.column(c)[d].values if part.column(c)[d].is_valid else [], np.int64) for c in ("cold", "hot"))
             least = least.view(np.int64)
-            is_hot = np.isin(least, hot)
-            for k in np.flatnonzero(np.isin(least, cold) | is_hot):
+            for k in np.flatnonzero(np.isin(least, np.asarray(part.column("wanted")[d].values, np.int64))):
                 a, b = int(starts[k]), int(starts[k + 1])
-                words = [data[s:e] for s, e in zip(table.starts[first + a : first + b + WINDOW - 1], table.ends[first + a : first + b + WINDOW - 1], strict=True)]
-                if is_hot[k]:
-                    pieces = [(w, hashlib.blake2b(b" ".join(words[w : w + WINDOW]), digest_size=16).digest(), b"") for w in range(b - a)]
-                else:
-                    pieces = [(0, b"", b" ".join(words))]
-                for offset, name, packed in pieces:
-                    mini.append(int(least[k]))
-                    digest.append(name)
-                    key.append(d)
-                    start.append(a + offset)
-                    text.append(packed)
+                places = slice(first + a, first + b + WINDOW - 1)
+                mini.append(int(least[k]))
+                key.append(d)
+                start.append(a)
+                windows.append(b - a)
+                text.append(b" ".join([data[s:e] for s, e in zip(table.starts[places].tolist(), table.ends[places].tolist(), strict=True)]))
         if mini:
             which = pa.array(key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mini, pa.int64()), pa.array(digest, pa.binary()), part.column("key").take(which), part.column("rank").take(which), pa.array(start, pa.int64()), pa.array(text, pa.binary())],
-                ["mini", "digest", "key", "rank", "start", "packed"],
+                [pa.array(mini, pa.int64()), part.column("key").take(which), part.column("rank").take(which), pa.array(start, pa.int64()), pa.array(windows, pa.int64()), pa.array(text, pa.binary())],
+                ["mini", "key", "rank", "start", "windows", "packed"],
             )
 
 
-def repeats_in_bucket(rows: list[tuple[bytes, int, int, str]]) -> list[tuple[str, int, int]]:
-    """rows: (packed words, rank, first window, key) of one bucket. Returns
-    (key, first, end) of runs of windows that also start in a row of smaller
-    rank. Equal packed strings are cut into windows once."""
-    packs: dict[bytes, int] = {}
-    for packed, rank, _, _ in rows:
-        packs[packed] = min(rank, packs.get(packed, rank))
-    if len(packs) == 1 and all(rank == rows[0][1] for _, rank, _, _ in rows):
-        return []
-    parts = -(-len(packs) // SORTED)
-    least: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-    for part in range(parts):
-        windows = []
-        for packed, rank in packs.items():
-            ends = [-1] + [k for k, byte in enumerate(packed) if byte == 32] + [len(packed)]
-            for w in range(len(ends) - WINDOW):
-                window = packed[ends[w] + 1 : ends[w + WINDOW]]
-                if parts == 1 or zlib.crc32(window) % parts == part:
-                    windows.append((window, rank, packed, w))
-        windows.sort(key=lambda x: x[:2])
-        before, owner = None, 0
-        for window, rank, packed, w in windows:
-            if window != before:
-                before, owner = window, rank
-            least[packed].append((w, owner))
-    out = []
-    for packed, rank, start, key in rows:
-        at = sorted(w for w, owner in least[packed] if owner < rank)
-        out += [(key, start + a, start + b) for a, b in _runs(at)]
-    return out
+def windows_of(packed: bytes) -> list[bytes]:
+    """The windows of a packed string, in order."""
+    ends = [-1] + [k for k, byte in enumerate(packed) if byte == 32] + [len(packed)]
+    return [packed[ends[w] + 1 : ends[w + WINDOW]] for w in range(len(ends) - WINDOW)]
+
+
+def repeats_in_bucket(strings: list[tuple[bytes, int, int]]) -> list[tuple[int, int, int]]:
+    """strings: (packed words, least rank, sid), all different. Returns (sid,
+    first, end) of runs of windows that a string of smaller rank holds too."""
+    windows = [(window, rank, sid, w) for packed, rank, sid in strings for w, window in enumerate(windows_of(packed))]
+    windows.sort(key=lambda x: x[:2])
+    before, owner, found = None, 0, defaultdict(list)
+    for window, rank, sid, w in windows:
+        if window != before:
+            before, owner = window, rank
+        if owner < rank:
+            found[sid].append(w)
+    return [(sid, a, b) for sid, at in found.items() for a, b in _runs(sorted(at))]
 
 
 def _runs(sorted_places: list[int]) -> Iterator[tuple[int, int]]:
@@ -158,31 +145,53 @@ def _runs(sorted_places: list[int]) -> Iterator[tuple[int, int]]:
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches are sorted by minimiser; a bucket is held only while it lasts."""
+    current, strings, ready = None, [], []
 
-    def spans(rows):
-        found = repeats_in_bucket(rows) if len(rows) > 1 else []
-        return [found] if found else []
-
-    def record(found):
-        keys, first, end = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first, pa.int64()), pa.array(end, pa.int64())], ["key", "first", "end"])
+    def record():
+        columns = [pa.array(c, pa.int64()) for c in zip(*ready, strict=True)]
+        ready.clear()
+        return pa.RecordBatch.from_arrays(columns, ["sid", "first", "end"])
 
-    current, rows, ready = None, [], []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("mini", "packed", "rank", "start", "key")]
-        for mini, *row in zip(*columns, strict=True):
+        for mini, *row in zip(*(batch.column(c).to_pylist() for c in ("mini", "packed", "least", "sid")), strict=True):
             if mini != current:
-                for found in spans(rows):
-                    ready += found
-                current, rows = mini, []
+                ready += repeats_in_bucket(strings)
+                current, strings = mini, []
                 if len(ready) > 5000:
-                    yield record(ready)
-                    ready = []
-            rows.append(tuple(row))
-    for found in spans(rows):
-        ready += found
+                    yield record()
+            strings.append(tuple(row))
+    ready += repeats_in_bucket(strings)
     if ready:
-        yield record(ready)
+        yield record()
+
+
+def _cut_by(run: int):
+    """Packed strings cut where the minimiser of `run` words changes."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                table = WordTable(part.column("packed").cast(pa.large_binary()))
+                hashes, data = table.hashes(), table.data.tobytes()
+                mini, which, start, windows, text = [], [], [], [], []
+                for d in range(part.num_rows):
+                    first, last = table.first[d], table.first[d + 1]
+                    starts, least = super_kmers(hashes[first:last], run=run)
+                    for k, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False)):
+                        mini.append(int(least[k].view(np.int64)))
+                        which.append(d)
+                        start.append(a)
+                        windows.append(b - a)
+                        # words of a packed string stand one space apart
+                        text.append(data[table.starts[first + a] : table.ends[first + b + WINDOW - 2]])
+                index = pa.array(which, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mini, pa.int64()), part.column("sid").take(index), part.column("least").take(index), pa.array(start, pa.int64()), pa.array(windows, pa.int64()), pa.array(text, pa.binary())],
+                    ["mini", "key", "rank", "start", "windows", "packed"],
+                )
+
+    return pieces
 
 
 def kept_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -208,29 +217,47 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(kept, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_kept", "kept_text"])
 
 
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(key, first, end): windows first..end-1 of the rows with that doc_key
     (id and text) whose words also start in a document of smaller id."""
     rows = keyed(docs, id_col, text_col)
     seen = cut(rows.mapInArrow(_minimisers, "mini long, key string, rank long"), "minimisers")
-    shared = seen.groupBy("mini").agg(F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_a"), F.max("rank").alias("_b")).where("_a < _b")
-    shared = cut(shared.select("mini", (F.col("_n") > hot).alias("_hot")), "shared-minimisers")
-    wanted = seen.join(shared, "mini").groupBy("key").agg(
-        F.collect_set(F.when(~F.col("_hot"), F.col("mini"))).alias("cold"), F.collect_set(F.when(F.col("_hot"), F.col("mini"))).alias("hot")
-    )
-    wanted = cut(wanted, "wanted-minimisers")
-    # rows that are equal in id and text give the same spans: one is enough
-    packed = rows.join(wanted.hint("merge"), "key").mapInArrow(_packed, "mini long, digest binary, key string, rank long, start long, packed binary")
-    packed = cut(packed, "super-kmers")
-    cold = packed.where("digest = x''").repartition("mini").sortWithinPartitions("mini")
-    spans = cold.select("mini", "packed", "rank", "start", "key").mapInArrow(_buckets, "key string, first long, end long")
-    windows = packed.where("digest <> x''")
-    first_of = windows.groupBy("digest").agg(F.min("rank").alias("_least"), F.max("rank").alias("_most")).where("_least < _most").select("digest", "_least")
-    first_of = cut(first_of, "hot-windows")
-    single = windows.join(first_of, "digest").where("_least < rank").select("key", F.col("start").alias("first"), (F.col("start") + 1).alias("end"))
-    return spans.unionAll(single)
+    shared = seen.groupBy("mini").agg(F.min("rank").alias("_a"), F.max("rank").alias("_b")).where("_a < _b").select("mini")
+    wanted = cut(seen.join(cut(shared, "shared-minimisers"), "mini").groupBy("key").agg(F.collect_set("mini").alias("wanted")), "wanted-minimisers")
+    forget(seen)
+    packed = rows.join(wanted.hint("merge"), "key").mapInArrow(_packed, "mini long, key string, rank long, start long, windows long, packed binary")
+    return _repeats(cut(packed, "super-kmers"), bucket, RUNS[1:])
+
+
+def _repeats(packed: DataFrame, bucket: int, runs: tuple[int, ...]) -> DataFrame:
+    """packed: a cut table (mini, key, rank, start, windows, packed). Returns
+    (key, first, end), the windows of each key that a smaller rank holds too.
+
+    A row above the least rank of its packed string repeats all of it. Only the
+    row of least rank itself has to know which windows come in other strings."""
+    # every different string once, by its bytes
+    strings = packed.groupBy("mini", "packed").agg(F.min("rank").alias("least")).withColumn("sid", F.monotonically_increasing_id())
+    strings = cut(strings, "strings")
+    held = packed.join(strings.hint("merge"), ["mini", "packed"]).select("key", "rank", "start", "windows", "sid", "least")
+    held = cut(held, "held-strings")
+    forget(packed)
+
+    # strings that meet others of another rank
+    sizes = strings.groupBy("mini").agg(F.count(F.lit(1)).alias("_n"), F.min("least").alias("_a"), F.max("least").alias("_b")).where("_a < _b").select("mini", "_n")
+    met = cut(strings.join(cut(sizes, "bucket-sizes"), "mini"), "bucket-strings")
+    forget(strings)
+    full = met.where(F.col("_n") > bucket)
+    split = bool(runs) and not full.isEmpty()
+    dealt = (met.where(F.col("_n") <= bucket) if split else met).select("mini", "packed", "least", "sid").repartition("mini").sortWithinPartitions("mini")
+    found = dealt.mapInArrow(_buckets, "sid long, first long, end long")
+    if split:
+        shorter = full.select("packed", "least", "sid").mapInArrow(_cut_by(runs[0]), "mini long, key long, rank long, start long, windows long, packed binary")
+        found = found.unionAll(_repeats(cut(shorter, "shorter-strings"), bucket, runs[1:]).withColumnRenamed("key", "sid"))
+    found = cut(found, "repeats")
+
+    whole = held.where("rank > least").select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("end"))
+    part = held.where("rank = least").select("key", "start", "sid").join(found, "sid")
+    return whole.unionAll(part.select("key", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end")))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,16 +267,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(doc_key(id_col, F.xxhash64(text)).alias("key"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("rank"), ident.alias("doc_id"), text.alias("text"))
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_kept, kept_text (the words
     left, joined by one space).
 
     A word goes if some window of 50 words that covers it also starts in a row
     with a smaller id; windows are those of the input. Rows that share an id
     are never compared with each other; a null id is larger than any other.
-    Null and empty texts have no words; texts under 50 words stay whole.
+    Null and empty texts have no words; texts under 50 words stay whole. Other
+    columns of docs are not read.
     """
-    spans = repeated_spans(docs, id_col, text_col, hot)
+    spans = repeated_spans(docs, id_col, text_col, bucket)
     pairs = spans.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_s"))
     packer = F.arrow_udf(_pack_spans, "binary")
     pairs = cut(pairs.select("key", packer(F.flatten(F.transform("_s", lambda s: F.array(s["first"], s["end"])))).alias("spans")), "spans")
