@@ -466,7 +466,7 @@ def st_cohen_d(spark, sf_dir):
 
 
 @query(SCORE_SQL + """, r as (select lang, score, label, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2.0 as k, count(*) over (partition by lang, score) as c from o),
-u as (select lang, sum(k) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0 as u, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0, sum(c * c - 1.0) as ties from r group by lang)
+u as (select lang, sum(k) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0 as u, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0, sum(c * c - 1.0) as ties from r group by lang),
 z as (select lang, u, round(sign(u - n1 * n0 / 2.0) * greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / nullif((n1 + n0) * (n1 + n0 - 1.0), 0))), 0), 6) as z from u),
 p as (select *, 1 / (1 + 0.2316419 * abs(z)) as t from z), q as (select lang, u, z, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * ((((1.330274429 * t - 1.821255978) * t + 1.781477937) * t - 0.356563782) * t + 0.319381530) * t, 6) as p from p)
 select *, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars from q""")
