@@ -53,10 +53,24 @@ def hrv_bands(ibi_ms: np.ndarray, fs: float = 4.0) -> dict[str, float]:
     for name, low, high in (("vlf", 0.003, 0.04), ("lf", 0.04, 0.15), ("hf", 0.15, 0.4)):
         inside = (f >= low) & (f < high)
         out[name] = area_under(p[inside], f[inside]) if inside.sum() > 1 else 0.0
+    both = out["lf"] + out["hf"]
     out["lf_hf"] = out["lf"] / out["hf"] if out["hf"] > 0 else np.nan
+    out["total"] = out["vlf"] + both
+    out["lf_nu"], out["hf_nu"] = (100 * out["lf"] / both, 100 * out["hf"] / both) if both > 0 else (np.nan, np.nan)
     return out
 
 
+def pupil_power(t_ms: np.ndarray, pupil: np.ndarray) -> float | None:
+    """Power of 0.04 to 0.15 Hz at the median sampling rate (10 to 120 Hz), in
+    windows of 30 s; None for 30 samples or fewer."""
+    if len(pupil) <= 30:
+        return None
+    fs = float(np.clip(1000 / max(np.median(np.diff(t_ms)), 1e-9), 10, 120))
+    f, p = welch(pupil - pupil.mean(), fs, int(fs * 30))
+    inside = (f >= 0.04) & (f <= 0.15)
+    return float(np.sum((p[inside][1:] + p[inside][:-1]) / 2) * (f[1] - f[0])) if inside.any() else None
+
+
 def hull_area(points: np.ndarray) -> float:
     """Area of the convex hull; 0 for degenerate sets."""
     ordered = sorted(map(tuple, np.unique(points, axis=0)))
@@ -226,12 +240,24 @@ def silhouettes(rows: DataFrame, ident: str, cluster: str, vector: str) -> DataF
 
 def hrv_frequency(series: DataFrame, key: str) -> DataFrame:
     """series: (key, i, ibi), one group a person's recording."""
+    names = ("vlf", "lf", "hf", "lf_hf", "total", "lf_nu", "hf_nu")
 
     def bands(pdf: pd.DataFrame) -> pd.DataFrame:
         found = hrv_bands(pdf.sort_values("i").ibi.to_numpy())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], **{n: [round(found[n], 4) if n in found and np.isfinite(found[n]) else None] for n in ("vlf", "lf", "hf", "lf_hf")}})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], **{n: [round(found[n], 4) if n in found and np.isfinite(found[n]) else None] for n in names}})
+
+    return series.groupBy(key).applyInPandas(bands, f"{key} long, " + ", ".join(f"{n} double" for n in names))
+
+
+def pupil_powers(samples: DataFrame, keys: list[str], kinds: str) -> DataFrame:
+    """samples: (keys, t, p), one group a person's recording of a trial."""
+
+    def power(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        found = pupil_power(pdf.t.to_numpy(float), pdf.p.to_numpy())
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "lf_power": [None if found is None else round(found, 6)]})
 
-    return series.groupBy(key).applyInPandas(bands, f"{key} long, vlf double, lf double, hf double, lf_hf double")
+    return samples.where("p is not null").groupBy(*keys).applyInPandas(power, f"{kinds}, lf_power double")
 
 
 def hulls(points: DataFrame, keys: list[str], kinds: str) -> DataFrame:
@@ -254,3 +280,37 @@ def progress(strokes: DataFrame, keys: list[str], kinds: str, width: int, height
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "strokes": n, "pixels": int(raster(parts[:n], width, height).sum())} for n in steps])
 
     return strokes.groupBy(*keys).applyInPandas(drawn, f"{kinds}, strokes int, pixels long")
+
+
+def accuracy_steps(strokes: DataFrame, route: DataFrame, keys: list[str], kinds: str, width: int, height: int, pens: tuple[float, float] = (3.0, 20.0), every: int = 5) -> DataFrame:
+    """How near a drawing is to its route after every `every`-th stroke and the
+    last: overlap, chamfer distance, boundary agreement within two pixels,
+    similarity, and the share of the image drawn. strokes: (keys, stroke, mode, i,
+    x, y), one group a drawing; route: (place, x, y), a fixed drawing that
+    travels with the function."""
+    line = route.orderBy("place").toPandas()[["x", "y"]].to_numpy(float)
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        truth = raster([("draw", pens[0], line)], width, height)
+        rows = pdf.sort_values(["stroke", "i"])
+        parts = [(g["mode"].iloc[0], pens[g["mode"].iloc[0] == "erase"], g[["x", "y"]].to_numpy()) for _, g in rows.groupby("stroke")]
+        steps = sorted({*range(every, len(parts) + 1, every), len(parts)})
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "strokes": n, **mask_agreement(truth, raster(parts[:n], width, height))} for n in steps])
+
+    names = "iou double, precision double, recall double, f1 double, chamfer double, boundary_f double, ssim double, coverage double"
+    return strokes.groupBy(*keys).applyInPandas(drawn, f"{kinds}, strokes int, {names}")
+
+
+def mask_agreement(truth: np.ndarray, mask: np.ndarray) -> dict[str, float]:
+    """Of two masks; 0 where a measure needs set cells and there are none."""
+    share = lambda a, b: float(a / b) if b else 0.0
+    both = int((truth & mask).sum())
+    edges = boundary_of(truth), boundary_of(mask)
+    away = [distance_transform(edges[1])[edges[0]], distance_transform(edges[0])[edges[1]]]
+    recall, precision = (float((a <= 2).mean()) if len(a) and np.isfinite(a).all() else 0.0 for a in away)
+    mean = [d[np.isfinite(d)].mean() if np.isfinite(d).any() else 0.0 for d in (distance_transform(truth)[mask], distance_transform(mask)[truth])]
+    found = {
+        "iou": share(both, int((truth | mask).sum())), "precision": share(both, int(mask.sum())), "recall": share(both, int(truth.sum())), "f1": share(2 * both, int(truth.sum()) + int(mask.sum())),
+        "chamfer": float((mean[0] + mean[1]) / 2), "boundary_f": share(2 * precision * recall, precision + recall), "ssim": global_ssim(truth, mask), "coverage": float(mask.mean()),
+    }
+    return {k: round(v, 6) for k, v in found.items()}

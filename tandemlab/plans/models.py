@@ -209,6 +209,24 @@ def geo_raster(spark, sf_dir):
     return grouped.progress(rows.select(*TRIAL, "stroke", mode.alias("mode"), "i", "x", "y"), TRIAL, "dyad long, trial int", 500, 900)
 
 
+@query()
+def geo_progress_accuracy(spark, sf_dir):
+    """Drawings at a tenth of their size against the fixed route, after every second stroke."""
+    w = Window.partitionBy(*TRIAL).orderBy("t", "event_id")
+    rows = samples(spark, sf_dir).withColumn("i", F.row_number().over(w) - 1).withColumn("stroke", F.expr("i div 3"))
+    mode = F.when(F.col("stroke") % 4 == 3, "erase").otherwise("draw")
+    scaled = rows.select(*TRIAL, "stroke", mode.alias("mode"), "i", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"))
+    line = spark.range(50).select(F.col("id").alias("place"), F.col("id").cast("double").alias("x"), (F.abs(450.0 - F.col("id") * 18.0) / 10).alias("y"))
+    return grouped.accuracy_steps(scaled, line, TRIAL, "dyad long, trial int", 66, 91, (1.0, 3.0), 2)
+
+
+@query()
+def ts_pupil_power(spark, sf_dir):
+    """A user's samples in order stand for a second's spacing."""
+    rows = users(spark, sf_dir).select("user_id", (F.col("i") * 1000).alias("t"), F.col("v").alias("p"))
+    return grouped.pupil_powers(rows, ["user_id"], "user_id long")
+
+
 @query("select user_id, time_bucket(interval 1 day, ts) as start, count(*) as n, round(sum(value), 4) as total from events group by all")
 def str_pace(spark, sf_dir):
     """All windows of what has arrived (complete output)."""

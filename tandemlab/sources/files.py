@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandemlab.functions.scalars import filetime_ms, safe_double, safe_long
+from tandemlab.functions.scalars import AREAS, area_of, filetime_ms, safe_double, safe_long
+from tandemlab.operators.features import is_blink
 
 
 def column_or_null(df: DataFrame, name: str, kind: str = "string"):
@@ -29,11 +30,81 @@ def read_headed(spark: SparkSession, path: str, names: list[str], sep: str = ","
 
 
 def aurora_gaze(raw: DataFrame) -> DataFrame:
-    """Gaze with the interpolated pair where either coordinate is missing."""
+    """Time and gaze alone of aurora_samples."""
+    return aurora_samples(raw).select("t", "x", "y")
+
+
+def aurora_samples(raw: DataFrame, lids_shut: float = 0.2) -> DataFrame:
+    """Gaze with the interpolated pair where either coordinate is missing, the
+    eyelids and pupils where the export has them, and whether it is a blink (see
+    features.is_blink)."""
     x, y = safe_double(F.col("gaze_x")), safe_double(F.col("gaze_y"))
     whole = x.isNotNull() & y.isNotNull()
     at = F.floor(F.col("unix_s") * 1000 + safe_double(F.col("timestamp")))
-    return raw.select(at.cast("long").alias("t"), F.when(whole, x).otherwise(safe_double(F.col("interp_x"))).alias("x"), F.when(whole, y).otherwise(safe_double(F.col("interp_y"))).alias("y"))
+    eye = {name: safe_double(column_or_null(raw, name)) for name in ("eyelid_left", "eyelid_right", "pupil_left", "pupil_right")}
+    rows = raw.select(
+        at.cast("long").alias("t"), F.when(whole, x).otherwise(safe_double(F.col("interp_x"))).alias("x"), F.when(whole, y).otherwise(safe_double(F.col("interp_y"))).alias("y"), *(c.alias(n) for n, c in eye.items())
+    )
+    blink = is_blink(F.col("eyelid_left"), F.col("eyelid_right"), F.col("pupil_left"), F.col("pupil_right"), F.col("x"), lids_shut)
+    return rows.withColumn("blink", blink.cast("int"))
+
+
+def labelled(gaze: DataFrame, bounds: DataFrame, role: str, areas: dict = AREAS) -> DataFrame:
+    """Gaze with the area of the role's screen and the first trial (by start,
+    then label) whose closed bounds (label, start, end) hold its time, else
+    no_trial. A session's trials are few: they meet each row in its task."""
+    # the trials of one session, some ten rows
+    trials = bounds.agg(F.sort_array(F.collect_list(F.struct("start", "label", "end"))).alias("_trials"))
+    inside = F.filter("_trials", lambda b: F.col("t").between(b["start"], b["end"]))
+    rows = gaze.crossJoin(F.broadcast(trials))
+    trial = F.coalesce(F.get(inside, F.lit(0))["label"], F.lit("no_trial"))
+    return rows.withColumn("trial", trial).withColumn("aoi", area_of(F.col("x"), F.col("y"), F.lit(role), areas)).withColumn("role", F.lit(role)).drop("_trials")
+
+
+#: The columns of a unified gaze table.
+GAZE = (
+    "t_unix_ms long, t_iso string, trial string, gaze_x double, gaze_y double, aoi string, pupil_left double, pupil_right double, head_pitch double, head_yaw double, head_roll double, "
+    "fixation_idx string, fixation_x double, fixation_y double, fixation_duration double, saccade_idx string, saccade_amplitude double, saccade_peak_velocity double, saccade_direction double, "
+    "gaze_velocity double, blink string, eyelid_left double, eyelid_right double, role string, source string"
+)
+
+
+def gaze_tables(spark: SparkSession, path: str, trial: str | None = None) -> DataFrame:
+    """Unified gaze CSVs under path (folders and globs too) with their file in
+    `file`; of one trial, if one is named (the filter reaches the scan)."""
+    rows = spark.read.schema(GAZE).option("header", True).option("enforceSchema", False).csv(path).withColumn("file", F.col("_metadata.file_path"))
+    return rows if trial is None else rows.where(F.col("trial") == trial)
+
+
+ROUTE = "image struct<width: int, height: int>, strokes array<struct<points: array<struct<x: double, y: double>>, polyline: array<struct<x: double, y: double>>>>"
+
+
+def routes(spark: SparkSession, path: str) -> DataFrame:
+    """(map, place, x, y, width, height) of the files gt_<map>.json under path, in
+    the order of their strokes. A map without a file has no rows."""
+    whole = spark.read.schema(ROUTE).option("multiLine", True).option("pathGlobFilter", "gt_*.json").json(path)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"gt_([0-9]+)\.json$", 1).try_cast("int")
+    rows = whole.select(number.alias("map"), "image", F.posexplode("strokes").alias("_s", "_stroke"))
+    points = F.coalesce("_stroke.points", "_stroke.polyline")
+    rows = rows.select("map", "image", "_s", F.posexplode(points).alias("_p", "_point")).where("_point.x is not null and _point.y is not null")
+    place = F.row_number().over(Window.partitionBy("map").orderBy("_s", "_p")) - 1
+    return rows.select("map", place.alias("place"), "_point.x", "_point.y", "image.width", "image.height")
+
+
+def heart_rate_baselines(members: DataFrame) -> DataFrame:
+    """(archive, director, matcher) of the session's hr_baseline.json: numbers
+    only, null for anything else; archives without the file have no row."""
+    text = members.where(F.col("member").endswith("hr_baseline.json")).select("archive", F.decode("content", "utf-8").alias("_json"))
+    value = F.try_parse_json("_json")
+    number = lambda who: F.when(F.schema_of_variant(F.variant_get(value, f"$.{who}", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(value, f"$.{who}", "double"))
+    return text.select("archive", number("director").alias("director"), number("matcher").alias("matcher"))
+
+
+def write_session_tables(tables: dict[str, DataFrame], path: str, session: str = "session") -> None:
+    """One Parquet table per family under path, partitioned by session; a
+    session written again replaces its own partitions alone."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(session).parquet(f"{path.rstrip('/')}/{name}")
 
 
 def screen_gaze(raw: DataFrame, screen: str | None = None) -> DataFrame:

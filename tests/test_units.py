@@ -181,6 +181,125 @@ def test_tracker_files(spark, tmp_path):
     assert sorted(map(tuple, files.heart_rate(lines).collect())) == [(100, 70.5, "rest"), (101, None, None)]
 
 
+def test_labels_of_gaze(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("# Unix time: 100\n#DATA\ntimestamp,gaze_x,gaze_y,interp_x,interp_y,eyelid_left,eyelid_right\n10,650,30,,,0.1,0.1\n20,,,,,0.9,0.9\n30,700,400,,,0.9,0.1\n")
+    raw = files.read_headed(spark, str(tmp_path / "a.csv"), ["timestamp", "gaze_x", "gaze_y", "interp_x", "interp_y", "eyelid_left", "eyelid_right"])
+    bounds = spark.createDataFrame([("T02", 100010, 100020), ("T01", 100010, 100010), ("T03", 100030, 100090)], "label string, start long, end long")
+    found = files.labelled(files.aurora_samples(raw), bounds, "director").orderBy("t").collect()
+    assert [(r.t, r.trial, r.aoi, r.blink) for r in found] == [(100010, "T01", "timer", 1), (100020, "T02", "missing", 1), (100030, "T03", "map", 0)]
+
+
+def test_screen_tracker(spark):
+    raw = spark.createDataFrame(
+        [("132223104000000000", "s1", "1", "2", "9", "9", "0.003"), ("132223104000010000", "s1", "0", "0", "5", "6", "3.1"), ("132223104000020000", "s2", "1", "1", "1", "1", None), ("", "s1", "1", "1", "1", "1", None)],
+        "RealTimeClock string, screen string, filtered_x string, filtered_y string, raw_x string, raw_y string, pupil string",
+    )
+    found = sorted(map(tuple, files.screen_gaze(raw, "s1").collect()))
+    assert found == [(1577836800000, 1.0, 2.0, 3.0), (1577836800001, 5.0, 6.0, 3.1)]
+    assert files.screen_gaze(raw).count() == 3
+
+
+def test_gaze_tables_and_routes(spark, tmp_path):
+    names = [c.split()[0] for c in files.GAZE.split(", ")]
+    for k in (1, 2):
+        row = {"t_unix_ms": "5", "trial": f"T0{k}", "gaze_x": "1.5"}
+        (tmp_path / f"g{k}.csv").write_text(",".join(names) + "\n" + ",".join(row.get(n, "") for n in names) + "\n")
+    assert sorted((r.trial, r.gaze_x, r.file[-6:]) for r in files.gaze_tables(spark, f"{tmp_path}/*.csv").collect()) == [("T01", 1.5, "g1.csv"), ("T02", 1.5, "g2.csv")]
+    assert [r.trial for r in files.gaze_tables(spark, f"{tmp_path}/*.csv", "T02").collect()] == ["T02"]
+    (tmp_path / "gt_3.json").write_text(json.dumps({"image": {"width": 651, "height": 900}, "strokes": [{"points": [{"x": 1, "y": 2}, {"x": 3, "y": None}]}, {"polyline": [{"x": 5, "y": 6}]}]}, indent=1))
+    assert sorted(map(tuple, files.routes(spark, str(tmp_path)).collect())) == [(3, 0, 1.0, 2.0, 651, 900), (3, 1, 5.0, 6.0, 651, 900)]
+
+
+def test_baselines_and_session_tables(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as archive:
+        archive.writestr("session/hr_baseline.json", json.dumps({"director": 71.5, "matcher": "80"}))
+    found = one(files.heart_rate_baselines(files.archive_members(spark, str(tmp_path / "s.zip"))))
+    assert (found.director, found.matcher) == (71.5, None)
+    tables = {"hr": spark.createDataFrame([("a", 1), ("b", 2)], "session string, v int"), "gaze": spark.createDataFrame([("a", 3.0)], "session string, w double")}
+    files.write_session_tables(tables, str(tmp_path / "out"))
+    files.write_session_tables({"hr": tables["hr"].where("session = 'b'").withColumn("v", F.lit(9))}, str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/hr").select("session", "v").collect())) == [("a", 1), ("b", 9)]
+    files.write_union([spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("b", None, 2)], "k string, v int, w int")], str(tmp_path / "union"))
+    assert sorted(map(tuple, spark.read.option("header", True).csv(f"{tmp_path}/union").collect())) == [("a", "1", None), ("b", None, "2")]
+
+
+def test_masks():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        mask, other = rng.random((7, 9)) < 0.2, rng.random((7, 9)) < 0.3
+        places = np.argwhere(mask)
+        found = grouped.distance_transform(mask)
+        for y in range(7):
+            for x in range(9):
+                want = np.sqrt(((places - (y, x)) ** 2).sum(axis=1)).min() if len(places) else np.inf
+                assert found[y, x] == pytest.approx(want)
+                around = mask[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+                assert grouped.boundary_of(mask)[y, x] == (mask[y, x] and (y in (0, 6) or x in (0, 8) or not around.all()))
+        assert grouped.global_ssim(mask, mask) == pytest.approx(1.0) and grouped.global_ssim(mask, other) < 1
+        agreed = grouped.mask_agreement(mask, mask)
+        assert not mask.any() or (agreed["iou"], agreed["f1"], agreed["chamfer"], agreed["boundary_f"]) == (1.0, 1.0, 0.0, 1.0)
+        assert grouped.mask_agreement(mask, np.zeros_like(mask))["boundary_f"] == 0.0
+
+
+def test_kendall_equals_pairs():
+    rng = np.random.default_rng(7)
+    for n in (2, 5, 40):
+        x, t = rng.integers(0, 6, n).astype(float), rng.integers(0, 9, n).astype(float)
+        s = sum(np.sign(x[a] - x[b]) * np.sign(t[a] - t[b]) for a in range(n) for b in range(a))
+        nx, nt = (sum(v[a] != v[b] for a in range(n) for b in range(a)) for v in (x, t))
+        want = s / np.sqrt(nx * nt) if nx and nt else None
+        assert grouped.kendall_tau(x, t) == (pytest.approx(want) if want is not None else None)
+    assert grouped.kendall_tau(np.ones(4), np.arange(4.0)) is None
+
+
+def test_pupil_power_of_a_slow_wave():
+    t = np.arange(0, 120_000, 50.0)
+    slow, fast = np.sin(2 * np.pi * 0.1 * t / 1000), np.sin(2 * np.pi * 2 * t / 1000)
+    assert grouped.pupil_power(t, slow) > 100 * grouped.pupil_power(t, fast) and grouped.pupil_power(t[:30], slow[:30]) is None
+    bands = grouped.hrv_bands(800 + 50 * np.sin(np.arange(300) * 0.5))
+    assert bands["total"] == pytest.approx(bands["vlf"] + bands["lf"] + bands["hf"]) and bands["lf_nu"] + bands["hf_nu"] == pytest.approx(100)
+
+
+def test_learners_tell_two_clouds_apart():
+    rng = np.random.default_rng(3)
+    y = np.arange(240) % 2
+    x = rng.normal(size=(240, 6)) + 1.2 * y[:, None]
+    ring = rng.normal(size=(240, 6))
+    round_ = (np.linalg.norm(ring[:, :2], axis=1) > 1.18).astype(int)
+    for name, learner in learn.LEARNERS.items():
+        p = learner(x[:160], y[:160], x[160:])
+        assert ((p > 0.5) == y[160:]).mean() > 0.85, name
+        if name in ("forest", "extra_trees", "kernel", "perceptron"):
+            assert ((learner(ring[:160], round_[:160], ring[160:]) > 0.5) == round_[160:]).mean() > 0.6, name
+    assert ((learn.stacked(x[:160], y[:160], x[160:], passthrough=True) > 0.5) == y[160:]).mean() > 0.85
+
+
+def test_p_values(spark):
+    found = spark.createDataFrame([(0.0,), (1.959964,), (-2.575829,), (3.3,), (None,)], "z double").select(st.two_sided_p(F.col("z")).alias("p")).withColumn("s", st.stars(F.col("p"))).collect()
+    assert [r.p if r.p is None else pytest.approx(r.p, abs=1e-6) for r in found] == [1.0, 0.05, 0.01, 0.000967, None]
+    assert [r.s for r in found][2:4] == ["*", "***"] or [r.s for r in found][3] == "***"
+
+
+def test_nearest_other_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    data = [(k, k % 3, float(x), float(y)) for k, (x, y) in enumerate(np.round(rng.normal(size=(150, 2)) ** 3, 2))] + [(900, 7, 1.0, 1.0), (901, 8, 2.0, 2.0), (902, 8, 2.0, 5.0)]
+    points = spark.createDataFrame(data, "id long, k long, x double, y double")
+    want = {i: min((np.hypot(x - u, y - v) for j, c, u, v in data if c == k and j != i), default=None) for i, k, x, y in data}
+    found = {r.id: r.d for r in joins.nearest_other(points, ["k"], "id").collect()}
+    assert found == {i: pytest.approx(d) for i, d in want.items() if d is not None}
+
+
+def test_silhouette_blocks(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    x, c = rng.normal(size=(60, 3)), np.arange(60) % 3
+    rows = spark.createDataFrame([(k, int(c[k]), x[k].tolist()) for k in range(60)], "id long, c int, v array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for r in grouped.silhouettes(rows, "id", "c", "v").collect():
+        own, others = [k for k in range(60) if c[k] == r.c and k != r.id], [[k for k in range(60) if c[k] == o] for o in range(3) if o != r.c]
+        assert (r.a, r.b) == (pytest.approx(far[r.id, own].mean()), pytest.approx(min(far[r.id, o].mean() for o in others)))
+
+
 def test_markers(spark):
     rows = spark.createDataFrame([("{bad",), ('{"type": "ping"}',), ('{"type": "flash"}',), ('{"type": "flash", "trial": "3", "flashTs": 7, "sessionId": "s"}',)], "value string")
     assert sorted(map(tuple, markers.decode(markers.encode(rows)).select("value", "trial", "flash_ms", "session").collect())) == [("flash|3|7|s", "3", 7.0, "s"), ("flash|?|0|", "?", 0.0, "")]
