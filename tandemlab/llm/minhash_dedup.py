@@ -4,7 +4,8 @@ components by alternating large-star and small-star.
 
 With 40 bands of 6 minima a pair of Jaccard similarity 0.8 misses all bands
 with probability (1 - 0.8^6)^40 = 5e-6; the signature check (see AGREE) drops
-such a pair with probability under 1e-8.
+such a pair with probability under 1e-8. Both are made for similarities of 0.8
+and more: lower thresholds are refused.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WordTable, batches_by_bytes, cut, doc_key, packed, run_hashes, word_memory
+from tandemlab.llm.common import WORD, WordTable, batches_by_bytes, cut, doc_key, forget, packed, run_hashes, settled, word_memory
 
 BANDS, ROWS = 40, 6
 #: A candidate goes on to the full sets if this share of its minima agree; at a
 #: similarity of 0.8, 240 minima agree less often than this six deviations out.
 AGREE = 0.64
-#: Nodes of a bucket that are held at once against its queries.
-BLOCK = 4096
+#: The least threshold that the bands and the signature check are made for.
+LEAST_PERCENT = 80
+#: Queries and targets of a bucket that meet in one task, of each at most about so many.
+BLOCK = 512
 
 
 def universal_hashes(n: int = BANDS * ROWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(now: DataFrame):
         return now.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = mark(now)
-    while True:
+    def stars(now: DataFrame) -> DataFrame:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large-star: every neighbour above a links to the least of a and its neighbours
         mins = cut(least(both), "stars")
@@ -134,7 +135,13 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: edges point down already; a and its smaller neighbours link to the least of them
         mins = cut(large.groupBy("a").agg(F.min("b").alias("m")), "stars")
         small = large.join(mins, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = cut(small.unionAll(mins.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        return small.unionAll(mins.select("a", F.col("m").alias("b"))).distinct()
+
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    before = mark(now)
+    while True:
+        spent, now = now, settled(lambda at=now: stars(at), "small-star")
+        forget(spent)
         after = mark(now)
         if after == before:
             roots = now.select(F.col("b").alias("node")).distinct()
@@ -159,6 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside a bucket's largest component meet the others. Links inside a
     component need no check, so none between components is lost.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the bands would miss pairs below {LEAST_PERCENT} percent")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     nodes = features(source, shingle, "minima").where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("data").alias("minima"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("short", F.arrow_udf(_short_signature, "binary")("minima"))
@@ -185,7 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = cut(members.drop("_n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("_n", "root")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_all")).where("_parts > 1")
-    mixed = cut(mixed.select("bucket", F.col("_top.root").alias("body"), F.ceil(F.col("_all") / BLOCK).alias("_blocks")), "mixed-buckets")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    mixed = mixed.select("bucket", F.col("_top.root").alias("body"), blocks(F.col("_all")).alias("_rows"), blocks(F.col("_all") - F.col("_top._n")).alias("_cols"))
+    mixed = cut(mixed, "mixed-buckets")
     crossing = _crossing(rooted.join(mixed, "bucket"), sets, percent)
     more = _linked(cut(crossing.distinct(), "crossing"), nodes, sets, percent)
     if not more.isEmpty():
@@ -224,14 +235,18 @@ def _sketch(column: pa.Array) -> pa.Array:
 def _crossing(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): mates of one bucket in different components whose similarity may
     reach the threshold. The nodes outside a bucket's largest component are its
-    queries; they meet its nodes in blocks of about BLOCK, inside a task, and
-    only pairs that pass an exact bound leave it."""
+    queries, and all its nodes are targets. Both are dealt into blocks of about
+    BLOCK; each block of targets meets each block of queries in a task of its
+    own, and only pairs that pass an exact bound leave it."""
     rows = open_rows.join(sets.select("node", "n", "sketch"), "node")
-    block = F.pmod(F.xxhash64("node"), F.col("_blocks"))
-    targets = rows.select("bucket", block.alias("block"), F.lit(1).alias("role"), "node", "root", "n", "sketch")
-    queries = rows.where("root <> body").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "root", "n", "sketch")
-    dealt = targets.unionAll(queries).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(_meet(percent), "a long, b long")
+    dealt = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    own = ("node", "root", "n", "sketch")
+    targets = rows.select("bucket", dealt("_rows", 1).alias("row"), every("_cols").alias("col"), F.lit(1).alias("role"), *own)
+    queries = rows.where("root <> body").select("bucket", every("_rows").alias("row"), dealt("_cols", 2).alias("col"), F.lit(0).alias("role"), *own)
+    cell = ("bucket", "row", "col")
+    met = targets.unionAll(queries).repartition(*cell).sortWithinPartitions(*cell)
+    return met.mapInArrow(_meet(percent), "a long, b long")
 
 
 def _meet(percent: int):
@@ -239,11 +254,11 @@ def _meet(percent: int):
         word_memory()
         current, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "role", "node", "root", "n", "sketch")]
-            for bucket, block, *row in zip(*columns, strict=True):
-                if (bucket, block) != current:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "row", "col", "role", "node", "root", "n", "sketch")]
+            for bucket, at, to, *row in zip(*columns, strict=True):
+                if (bucket, at, to) != current:
                     yield from _pairs(rows, percent)
-                    current, rows = (bucket, block), []
+                    current, rows = (bucket, at, to), []
                 rows.append(row)
         yield from _pairs(rows, percent)
 
@@ -299,7 +314,7 @@ def _beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id names their component, columns unchanged; of
     rows equal in id and words one stays. Documents without words all stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, percent).where("doc_id <=> component_id")
+    found = near_duplicates(docs, id_col, text_col, shingle, percent).where("doc_id <=> component_id and digest is not null")
     kept = found.select(doc_key("doc_id", F.hex("digest")).alias("_key")).distinct()
 
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -307,7 +322,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             joined = (b" ".join((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()) for text in column)
             yield pa.array([hashlib.blake2b(x, digest_size=16).digest() if x else None for x in joined], pa.binary())
 
-    keyed = packed(docs).withColumn("_digest", F.arrow_udf(digest, "binary")(F.col(f"_row.{text_col}").cast("string"))).withColumn("_key", doc_key(f"_row.{id_col}", F.hex("_digest")))
+    rows = packed(docs)
+    has_words = F.coalesce(F.col(f"_row.{text_col}").cast("string").rlike(WORD), F.lit(False))
+    digests = F.arrow_udf(digest, "binary")(F.col(f"_row.{text_col}").cast("string"))
+    keyed = rows.where(has_words).withColumn("_digest", digests).select("_row", doc_key(f"_row.{id_col}", F.hex("_digest")).alias("_key"))
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    rows = keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first)
-    return rows.where("_nth = 1 or _digest is null").select("_row.*")
+    one = keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row")
+    return one.unionAll(rows.where(~has_words)).select("_row.*")
