@@ -8,21 +8,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bins of a running sum over a whole table.
+BINS = 1024
+
+
+def running(counts: DataFrame, keys: list[str], value: str, columns: list[str]) -> DataFrame:
+    """counts (one row per keys and value) with `_before_<c>`, the sum of c over
+    smaller values, and `_total_<c>`. Without keys no task orders the table:
+    values are dealt into equal bins between the least and the greatest, and only
+    the bins' sums (at most BINS + 1 rows) meet in one place."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ahead = (Window.unboundedPreceding, -1)
+    if keys:
+        w = Window.partitionBy(*keys)
+        before = w.orderBy(value).rowsBetween(*ahead)
+        return counts.select("*", *(zero(F.sum(c).over(before)).alias(f"_before_{c}") for c in columns), *(F.sum(c).over(w).alias(f"_total_{c}") for c in columns))
+    ends = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), *(F.sum(c).alias(f"_total_{c}") for c in columns))
+    part = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    # one row
+    binned = counts.crossJoin(F.broadcast(ends)).withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor(part * BINS)).otherwise(0)).drop("_lo", "_hi")
+    sums = binned.groupBy("_bin").agg(*(F.sum(c).alias(f"_sum_{c}") for c in columns))
+    below = sums.select("_bin", *(zero(F.sum(f"_sum_{c}").over(Window.orderBy("_bin").rowsBetween(*ahead))).alias(f"_below_{c}") for c in columns))
+    inside = Window.partitionBy("_bin").orderBy(value).rowsBetween(*ahead)
+    joined = binned.join(F.broadcast(below), "_bin")
+    found = joined.select("*", *((F.col(f"_below_{c}") + zero(F.sum(c).over(inside))).alias(f"_before_{c}") for c in columns))
+    return found.drop("_bin", *(f"_below_{c}" for c in columns))
+
+
 def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "rank") -> DataFrame:
     """Ranks with ties averaged. Values are counted first and running counts
     are per distinct value, so equal values of any number are one row."""
     keys = keys or []
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn(out, before + (F.col("_c") + 1) / 2).drop("_c"), [*keys, value])
+    counts = running(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), keys, value, ["_c"])
+    return df.join(counts.select(*keys, value, (F.col("_before__c") + (F.col("_c") + 1) / 2).alias(out)), [*keys, value])
 
 
 def rank_sums(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Per group: n1, n0, the Mann-Whitney U of label 1 and the tie term."""
     keys = keys or []
-    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"), F.sum(label).alias("_p"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("_r", before + (F.col("_c") + 1) / 2)
+    counts = running(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"), F.sum(label).alias("_p")), keys, score, ["_c"])
+    ranked = counts.withColumn("_r", F.col("_before__c") + (F.col("_c") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(
         F.sum("_p").alias("n1"), F.sum(F.col("_c") - F.col("_p")).alias("n0"), F.sum(F.col("_r") * F.col("_p")).alias("_s"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties")
     )
@@ -38,11 +63,9 @@ def roc_auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None
 
 def average_precision(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
-    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"), F.sum(label).alias("_p"))
-    upto = Window.partitionBy(*keys).orderBy(F.desc(score))
-    every = Window.partitionBy(*keys)
-    rows = counts.withColumn("_tp", F.sum("_p").over(upto)).withColumn("_all", F.sum("_c").over(upto)).withColumn("_pos", F.sum("_p").over(every))
-    term = F.try_divide(F.col("_p"), F.col("_pos")) * F.col("_tp") / F.col("_all")
+    rows = running(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"), F.sum(label).alias("_p")), keys, score, ["_c", "_p"])
+    above = {c: F.col(f"_total_{c}") - F.col(f"_before_{c}") for c in ("_c", "_p")}
+    term = F.try_divide(F.col("_p"), F.col("_total__p")) * above["_p"] / above["_c"]
     return rows.groupBy(*keys).agg(F.round(F.sum(term), 8).alias("ap"))
 
 

@@ -66,11 +66,47 @@ def win_top_k(spark, sf_dir):
     return samples(spark, sf_dir).withColumn("n", nth).where("n <= 5").select("dyad", "event_id", "t", "x")
 
 
-@query(S + "select event_id from (select *, row_number() over (partition by dyad, trial, role order by md5('3:' || event_id), event_id) as n from s where event_type = 'error') where n <= 3")
+@query(S + "select event_id from (select *, row_number() over (partition by dyad, trial, role order by event_type <> 'error', md5('3:' || event_id), event_id) as n from s) where n <= 3")
 def win_seeded_sample(spark, sf_dir):
-    """Three failures of each series by a seeded hash; fewer, if there are fewer."""
-    nth = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.md5(F.concat(F.lit("3:"), F.col("event_id")).cast("binary")), "event_id"))
-    return samples(spark, sf_dir).where("event_type = 'error'").withColumn("n", nth).where("n <= 3").select("event_id")
+    """Three failures of each series by a seeded hash; successes fill up where there are fewer."""
+    nth = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("event_type") != "error", F.md5(F.concat(F.lit("3:"), F.col("event_id")).cast("binary")), "event_id"))
+    return samples(spark, sf_dir).withColumn("n", nth).where("n <= 3").select("event_id")
+
+
+@query(S + """, k as (select dyad, trial, event_type from s group by all having count(distinct role) = 2) select dyad, trial, string_agg(event_type, ',' order by event_type) as common, count(*) as n from k group by dyad, trial""")
+def agg_common_types(spark, sf_dir):
+    """What both roles of a trial have: an intersection of two sets of five types."""
+    kinds = lambda role: F.collect_set(F.when(F.col("role") == role, F.col("event_type")))
+    rows = samples(spark, sf_dir).groupBy(*TRIAL).agg(kinds("director").alias("a"), kinds("matcher").alias("b")).select(*TRIAL, F.array_sort(F.array_intersect("a", "b")).alias("c"))
+    return rows.where(F.size("c") > 0).select(*TRIAL, F.concat_ws(",", "c").alias("common"), F.size("c").cast("long").alias("n"))
+
+
+@query("""with r as (select event_id, case when k % 5 = 2 then k * 1.0::double when k % 5 = 3 then -(k + 0.75)::double end as d, k from (select event_id, cast(json_extract(props, '$.k') as bigint) as k from events)) select event_id, d, nullif(k % 3, 0) as m from r where d is not null and k % 3 <> 0""")
+def clean_drop_missing(spark, sf_dir):
+    """Rows that lack any of the columns asked for go; the others stay whole."""
+    rows = raw_values(spark, sf_dir).select("event_id", sc.safe_double(F.col("raw")).alias("d"), F.nullif(F.col("k") % 3, F.lit(0)).alias("m"))
+    return rows.dropna(subset=["d", "m"])
+
+
+@query(S + """, d as (select distinct dyad from s), f as (select dyad, case dyad % 3 when 0 then 'dyad ' || dyad || '-b' when 1 then 'DYAD_' || dyad || '_B' else 'Dyad-' || dyad || ' B' end as folder from d where dyad % 5 <> 4)
+select d.dyad, f.folder from d left join f on translate(lower(trim(f.folder)), ' -', '__') = 'dyad_' || d.dyad || '_b'""")
+def join_directory(spark, sf_dir):
+    """Folders find their dyad however their names are written."""
+    dyads = samples(spark, sf_dir).select("dyad").distinct()
+    n = F.col("dyad")
+    name = F.when(n % 3 == 0, F.concat(F.lit("dyad "), n, F.lit("-b"))).when(n % 3 == 1, F.concat(F.lit("DYAD_"), n, F.lit("_B"))).otherwise(F.concat(F.lit("Dyad-"), n, F.lit(" B")))
+    folders = dyads.where(n % 5 != 4).select(name.alias("folder")).withColumn("_key", sc.normal_id(F.col("folder")))
+    return dyads.withColumn("_key", F.concat(F.lit("dyad_"), n, F.lit("_b"))).join(folders, "_key", "left").select("dyad", "folder")
+
+
+@query(SCORE_SQL + """, g as (select source, lang, avg(score) as v from o group by all), p as (select source, lang, v / sum(v) over (partition by source) as share from g)
+select source, """ + ", ".join(f"round(coalesce(max(share) filter (lang = '{c}'), 0), 6) as {c}" for c in ("de", "en", "es", "fr")) + " from p group by source")
+def st_share_pivot(spark, sf_dir):
+    """The shares side by side, 0 where a source has none."""
+    rows = scored(spark, sf_dir).groupBy("source", "lang").agg(F.avg("score").alias("v"))
+    shares = rows.withColumn("share", F.col("v") / F.sum("v").over(Window.partitionBy("source")))
+    wide = shares.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.first("share"))
+    return wide.select("source", *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("de", "en", "es", "fr")))
 
 
 @query(S + "select event_id from (select *, row_number() over (partition by dyad, trial, role, t // 21600000 order by t, event_id) as n from s) where n = 1")

@@ -133,7 +133,7 @@ def ml_learners(spark, sf_dir):
 def ml_kmeans_sweep(spark, sf_dir):
     """Inertia and Euclidean silhouette of k from 2 to 6."""
     out = None
-    for k, cost, rows in learn.kmeans_sweep(feature_table(spark, sf_dir), "features", "vec_id", [2, 3, 4, 5, 6]):
+    for k, cost, rows in learn.kmeans_sweep(feature_table(spark, sf_dir), "features", "vec_id", [2, 3, 4, 5, 6], 3):
         s = grouped.silhouettes(rows, "vec_id", "cluster", "scaled")
         row = s.agg(F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 5).alias("silhouette")).select(F.lit(k).alias("k"), F.lit(round(cost, 3)).alias("inertia"), "silhouette")
         out = row if out is None else out.unionAll(row)

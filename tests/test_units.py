@@ -67,6 +67,21 @@ def test_average_ranks(spark):
     assert sorted((r.v, r["rank"]) for r in st.average_ranks(rows, "v").collect()) == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
 
 
+def test_running_sums_without_keys(spark):
+    rng = np.random.default_rng(2)
+    values = np.round(rng.normal(size=400) ** 3, 1)
+    rows = spark.createDataFrame([(float(v), int(k % 3 == 0)) for k, v in enumerate(values)], "v double, y int")
+    ranks = {r.v: r["rank"] for r in st.average_ranks(rows, "v").collect()}
+    assert ranks == {v: (values < v).sum() + ((values == v).sum() + 1) / 2 for v in values}
+    order, ap, hits = sorted(set(values), reverse=True), 0.0, sum(k % 3 == 0 for k in range(400))
+    for v in order:
+        above = values >= v
+        ap += sum(k % 3 == 0 for k in np.flatnonzero(values == v)) / hits * sum(k % 3 == 0 for k in np.flatnonzero(above)) / above.sum()
+    assert one(st.average_precision(rows, "v", "y")).ap == pytest.approx(ap)
+    same = spark.createDataFrame([(1.0, 1), (1.0, 0)], "v double, y int")
+    assert one(st.roc_auc(same, "v", "y")).auc == 0.5
+
+
 def test_shuffle_keeps_group_sums(spark):
     rows = spark.createDataFrame([(k, k % 4, k % 3 % 2) for k in range(40)], "id long, g long, y int")
     want = {r.g: r[1] for r in rows.groupBy("g").sum("y").collect()}
