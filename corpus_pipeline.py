@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tandemlab.llm import exact_dedup, minhash_dedup, mixing, packing, quality
-from tandemlab.llm.common import cut
+from tandemlab.llm.common import forget, settled
 from tandemlab.llm.queries import tokenizer_path
 
 
@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's output is a table of its own; what the stage cut on its way
+    goes when it is written, and the table of the stage before it too."""
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = settled(lambda f=stage, before=docs: f(spark, before, sf_dir), name.replace(" ", "-"))
+        if spent is not None:
+            forget(spent)
+        docs = spent = made
     return STAGES[-1][1](spark, docs, sf_dir)
