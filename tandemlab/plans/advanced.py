@@ -202,10 +202,10 @@ def ts_te(spark, sf_dir):
 
 
 def trend_sql(c: str) -> str:
-    return f"round(case when count(*) > 1 then regr_slope({c}, win) else 0 end, 6) + 0.0 as {c}_trend"
+    return f"round(case when count(*) > 1 then regr_slope({c}, win) else 0 end, 9) + 0.0 as {c}_trend"
 
 
-@query(f"""select dyad, round(avg(rr), 5) as rr_mean, round(stddev_pop(rr), 5) as rr_sd, {trend_sql("rr")}, round(avg(det), 5) as det_mean, round(stddev_pop(det), 5) as det_sd, {trend_sql("det")}, count(*) as n_windows from (
+@query(f"""select dyad, round(avg(rr), 9) as rr_mean, round(stddev_pop(rr), 5) as rr_sd, {trend_sql("rr")}, round(avg(det), 9) as det_mean, round(stddev_pop(det), 5) as det_sd, {trend_sql("det")}, count(*) as n_windows from (
 {S}, {PAIR_SQL}, {WIN_SQL.replace("dyad, win, a, b from (", "dyad, win, i, a, b from (")}, r as (select dyad, win, greatest(0.1 * sqrt((var_samp(a) + var_samp(b)) / 2), 0.01) as r from o group by dyad, win), z as (select dyad, win, count(*) * count(*) as cells from o group by dyad, win),
 e as (select x.dyad, x.win, x.i, y.i as j from o x join o y on x.dyad = y.dyad and x.win = y.win join r on r.dyad = x.dyad and r.win = x.win where abs(x.a - y.b) <= r.r), {line_sql("dyad, win")}) group by dyad""")
 def ts_wcrqa(spark, sf_dir):
@@ -216,12 +216,12 @@ def ts_wcrqa(spark, sf_dir):
     left = o.select(*keys, "i", F.col("a").alias("v")).join(sizes.select(*keys, "r"), keys)
     edges = ts.recurrences(left, o.select(*keys, "i", F.col("b").alias("v")), keys, ["v"], F.col("a.r"), 0)
     found = ts.line_metrics(edges, sizes.select(*keys, "cells"), keys).withColumn("win", F.col("win").cast("double"))
-    trend = lambda c: (F.round(F.coalesce(sc.slope(F.col(c), F.col("win")), F.lit(0.0)), 6) + 0.0).alias(f"{c}_trend")
-    each = [x for c in ("rr", "det") for x in (F.round(F.avg(c), 5).alias(f"{c}_mean"), F.round(F.stddev_pop(c), 5).alias(f"{c}_sd"), trend(c))]
+    trend = lambda c: (F.round(F.coalesce(sc.slope(F.col(c), F.col("win")), F.lit(0.0)), 9) + 0.0).alias(f"{c}_trend")
+    each = [x for c in ("rr", "det") for x in (F.round(F.avg(c), 9).alias(f"{c}_mean"), F.round(F.stddev_pop(c), 5).alias(f"{c}_sd"), trend(c))]
     return found.groupBy("dyad").agg(*each, F.count(F.lit(1)).alias("n_windows"))
 
 
-@query(f"""select dyad, max(rr) filter (k = 0) as rr, max(det) filter (k = 0) as det, round(avg(rr) filter (k > 0), 6) as null_rr, round(avg(det) filter (k > 0), 5) as null_det, round(stddev_pop(det) filter (k > 0), 5) as null_det_sd,
+@query(f"""select dyad, max(rr) filter (k = 0) as rr, max(det) filter (k = 0) as det, round(avg(rr) filter (k > 0), 6) as null_rr, round(avg(det) filter (k > 0), 9) as null_det, round(stddev_pop(det) filter (k > 0), 5) as null_det_sd,
   round(case when stddev_pop(det) filter (k > 0) > 1e-9 then (max(det) filter (k = 0) - avg(det) filter (k > 0)) / stddev_pop(det) filter (k > 0) else 0 end, 3) + 0.0 as z from (
 {S}, {PAIR_SQL}, t as (select * from q where n >= 10), c as (select dyad, greatest(0.1 * sqrt((var_samp(a) + var_samp(b)) / 2), 0.01) as r, any_value(n) as n from t group by dyad), turns as (select unnest(range(0, 21)) as k),
 z as (select dyad, k, n * n as cells from c, turns), e as (select x.dyad, k, x.i, (y.i + case when k = 0 then 0 else c.n // 4 + (k - 1) * (c.n // 2) // 20 end) % c.n as j from t x join t y on x.dyad = y.dyad join c on c.dyad = x.dyad, turns where abs(x.a - y.b) <= c.r), {line_sql("dyad, k")}) group by dyad""")
@@ -241,7 +241,7 @@ def ts_surrogate(spark, sf_dir):
     real, null = lambda c: F.max(F.when(F.col("k") == 0, F.col(c))), lambda c: F.when(F.col("k") > 0, F.col(c))
     mean, sd = F.avg(null("det")), F.stddev_pop(null("det"))
     return found.groupBy("dyad").agg(
-        real("rr").alias("rr"), real("det").alias("det"), F.round(F.avg(null("rr")), 6).alias("null_rr"), F.round(mean, 5).alias("null_det"), F.round(sd, 5).alias("null_det_sd"),
+        real("rr").alias("rr"), real("det").alias("det"), F.round(F.avg(null("rr")), 6).alias("null_rr"), F.round(mean, 9).alias("null_det"), F.round(sd, 5).alias("null_det_sd"),
         (F.round(F.when(sd > 1e-9, (real("det") - mean) / sd).otherwise(0.0), 3) + 0.0).alias("z"),
     )
 
