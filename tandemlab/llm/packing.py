@@ -19,8 +19,8 @@ from tandemlab.llm.token_counts import tokenizer
 
 LENGTH = 1024
 END_ID = 0
-#: Ranks are counted in so many parts per length, so that no length is one task.
-PARTS = 64
+#: Pieces of one length are ranked in parts of about so many, so that no length is one task.
+PART = 100_000
 #: The worker's memory of encoded words: its bytes in all, and the longest word kept.
 REMEMBERED, REMEMBERED_BYTES = 64 << 20, 64
 #: Three white-space characters in a row, or two at the end or before what may be
@@ -139,40 +139,50 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: s
     return rows.mapInArrow(_pieces(tokenizer_path, length, with_ids), schema)
 
 
-def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
-    """(count, lengths) of each packing pattern. Lengths are placed longest
-    first, each into the packs with the most room (the shortest packs), as many
-    at once as there are; what fits nowhere opens new packs."""
-    room: dict[int, list[tuple[int, list[int]]]] = {}
+def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(count, [(piece length, times)]) of each packing pattern. Lengths are
+    placed longest first, each into the packs with the most room (the shortest
+    packs), as many at once as there are; what fits nowhere opens new packs.
+
+    A step either uses up a pattern, which one new pattern replaces, or ends its
+    length and leaves two at most: there are no more patterns than twice the
+    lengths. The different lengths of a pattern sum to `length` at most, so that
+    it has fewer than sqrt(2 * length)."""
+    room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
             free = max((r for r, packs in room.items() if packs), default=-1)
             if free < size:
-                room.setdefault(length - size, []).append((left, [size]))
+                # new packs take as many pieces of this length as they hold; the last one what remains
+                per = length // size
+                for count, times in ((left // per, per), (1, left % per)):
+                    if count and times:
+                        room.setdefault(length - size * times, []).append((count, [(size, times)]))
                 break
             count, pattern = room[free].pop()
             used = min(left, count)
             if used < count:
                 room[free].append((count - used, pattern))
-            room.setdefault(free - size, []).append((used, [*pattern, size]))
+            times = pattern[-1][1] + 1 if pattern[-1][0] == size else 1
+            room.setdefault(free - size, []).append((used, [*(pattern[:-1] if times > 1 else pattern), (size, times)]))
             left -= used
     return [pack for packs in room.values() for pack in packs]
 
 
-def pattern_places(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, sequence of the first rank, offset) of
-    each place of each pattern. The pieces of a length, by rank, fill the places
-    of that length one after the other."""
+def pattern_places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, times, sequence of the first rank, offset)
+    of each run of equal pieces in each pattern. The pieces of a length, by rank,
+    fill the places of that length one after the other, `times` a sequence."""
     rank: dict[int, int] = {}
     out, sequence = [], 0
     for count, pattern in patterns:
         offset = 0
-        for size in pattern:
+        for size, times in pattern:
             first = rank.get(size, 0)
-            rank[size] = first + count
-            out.append((size, first, first + count, sequence, offset))
-            offset += size
+            rank[size] = first + count * times
+            out.append((size, first, first + count * times, times, sequence, offset))
+            offset += size * times
         sequence += count
     return out
 
@@ -183,22 +193,25 @@ def pack(found: DataFrame, length: int = LENGTH) -> DataFrame:
     the histogram (at most `length` rows) and makes the table of places."""
     spark = found.sparkSession
     keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    rows = numbered_copies(found, keys).withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(PARTS)))
-    rows = cut(rows, "pieces")
+    rows = cut(numbered_copies(found, keys), "pieces")
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1))).collect()}
+    # the parts of a length follow its count
+    parts_of = F.element_at(F.array(*(F.lit(-(-histogram.get(size, 1) // PART)) for size in range(1, length + 1))), F.col("length").cast("int"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), parts_of))
     parts = rows.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")
-    parts = cut(parts.withColumn("_before", before), "parts")
-    histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("_n")).collect()}
-    places = spark.createDataFrame(
-        pattern_places(shortest_pack_first(histogram, length)), "_length long, _first long, _end long, _sequence long, offset long"
-    )
+    parts = cut(parts.select("length", "_part", before.alias("_before")), "parts")
     within = F.row_number().over(Window.partitionBy("length", "_part").orderBy(*keys, "copy")) - 1
-    # both tables are bounded: length * PARTS rows, and the places of the patterns
-    ranked = rows.withColumn("_within", within).join(F.broadcast(parts.drop("_n")), ["length", "_part"])
+    ranked = rows.withColumn("_within", within).join(parts.hint("merge"), ["length", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_within"))
+    # at most 2 * length * sqrt(2 * length) rows of 48 bytes: 4.5 MB at a length of 1024
+    places = spark.createDataFrame(
+        pattern_places(shortest_pack_first(histogram, length)), "_length long, _first long, _end long, _times long, _sequence long, _offset long"
+    )
     here = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
-    joined = ranked.join(F.broadcast(places), here)
-    return joined.select(*keys, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
+    nth = F.col("_rank") - F.col("_first")
+    joined = ranked.join(F.broadcast(places), here).withColumn("_k", nth)
+    return joined.select(*keys, (F.col("_sequence") + F.expr("_k div _times")).alias("sequence_id"), (F.col("_offset") + F.expr("_k % _times") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

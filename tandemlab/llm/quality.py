@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import WHITE, packed, word_memory
+from tandemlab.llm.common import WHITE, free_name, packed, word_memory
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_upper long"
 SYMBOLS = b"#*$%&|<>"
@@ -85,9 +85,11 @@ def _measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def ledger(docs: DataFrame, text_col: str = "text", into: str = "_ledger") -> DataFrame:
-    """docs with a struct column `into`: the measurements and `failed`, the bits
-    of failed rules. Every rule is evaluated once; empty and null texts fail
-    few_words alone. Row-local: no shuffle, any other column passes through."""
+    """docs with a struct column free_name(docs, into): the measurements and
+    `failed`, the bits of failed rules. Every rule is evaluated once; empty and
+    null texts fail few_words alone. Row-local: no shuffle, any other column
+    passes through."""
+    into = free_name(docs, into)
     measured = F.arrow_udf(_measured, MEASURES)(F.col(text_col).cast("string"))
     out = docs.withColumn(into, measured)
     bits = [F.when(F.expr(_qualified(rule, into)), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)]
