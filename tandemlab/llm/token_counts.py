@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import batches_by_bytes, word_memory, worker_cache
+from tandemlab.llm.common import batches_by_bytes, free_name, word_memory, worker_cache
 
 #: Texts over CHUNK characters are encoded in chunks that overlap by OVERLAP.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -77,7 +77,9 @@ def resynchronised(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
 def count_tokens(encoder, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, memory: dict[bytes, int] | None = None) -> list[tuple[int, int]]:
     """(tokens, chunks) of each text. Texts of up to `chunk` characters need no
     splice: white space bounds their tokens everywhere, so each distinct word
-    between ASCII white space is encoded once, and counts add up."""
+    between ASCII white space is encoded once, and counts add up. A tokenizer
+    that doesn't drop white space is refused."""
+    _drops_white_space(encoder)
     memory = {} if memory is None else memory
     if len(memory) > REMEMBERED:
         memory.clear()
@@ -98,6 +100,23 @@ def count_tokens(encoder, texts: list[str], chunk: int = CHUNK, overlap: int = O
     return out
 
 
+#: Pairs of ends of words between which a tokenizer could look across white space.
+_ENDS = (("ab", "cd"), ("1", "2"), ("don", "'t"), (".", "."), ("é", "\u0301x"), ("<", "|endoftext|>"), ("中", "文"))
+
+
+def _drops_white_space(encoder) -> None:
+    """Raises where words on both sides of white space don't encode as they do
+    alone, or white space has tokens of its own."""
+    seen = worker_cache("drops white space")
+    if id(encoder) not in seen:
+        ids = lambda text: encoder.encode(text, add_special_tokens=False).ids
+        for space in " \t\n\x0b\x0c\r":
+            for a, b in _ENDS:
+                if ids(a + space + b) != ids(a) + ids(b) or ids(space + a + space) != ids(a):
+                    raise ValueError(f"the tokenizer doesn't drop {space!r} between words")
+        seen[id(encoder)] = True
+
+
 def _counting(path: str):
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, memory = tokenizer(path), word_memory(f"counts of {path}")
@@ -119,5 +138,6 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "tex
     """docs with a struct column `into`: n_bytes (UTF-8), n_tokens, n_chunks
     (1 for texts encoded whole). No special tokens are added; those that stand
     in a text are read as the library does. Null counts as empty: no tokens,
-    one chunk. Row-local, no shuffle; all other columns pass through."""
-    return docs.withColumn(into, F.arrow_udf(_counting(tokenizer_path), COUNTS)(F.col(text_col).cast("string")))
+    one chunk. The column is free_name(docs, into). Row-local, no shuffle; all
+    other columns pass through."""
+    return docs.withColumn(free_name(docs, into), F.arrow_udf(_counting(tokenizer_path), COUNTS)(F.col(text_col).cast("string")))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandemlab.llm.common import free_name
+
 #: At most this many labelled documents are used to fit, those with the least hash of their id.
 FIT_ROWS = 16_384
 FOLDS, RIDGE = 5, 1.0
@@ -19,7 +22,8 @@ LEAST_DOCUMENTS = 4
 BEGINNINGS = (4, 5, 6)
 #: A worker remembers the features of so many words.
 WORDS_KEPT = 100_000
-#: The chain, in order: earlier categories inform later ones.
+#: The chain, in order: earlier categories inform later ones. The labels hold two
+#: columns; the last category is a document that is both, and informs no other.
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 
 _SPACE_OUT = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -195,14 +199,23 @@ def numbered(documents: Iterable[list[bytes]]) -> tuple[dict[bytes, int], list[n
     return {f: k for k, f in enumerate(chosen)}, found
 
 
-def fit_chain(documents: Iterable[list[bytes]], y: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
-    """documents: the terms of each; y: a 0/1 column per category. Each link is
+def fit_chain(documents: Iterable[bytes], y: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
+    """documents: the terms of each, joined by spaces; y: a 0/1 column per category. Each link is
     fitted on the features and on out-of-fold probabilities of the earlier links,
     so that it sees earlier outputs as good as those it will get later on. Those
-    probabilities also set the link's cut."""
-    words, found = numbered(documents)
+    probabilities also set the link's cut. Documents of equal terms share a fold.
+    What is a feature depends on no label; how features are scaled does, and is
+    fitted inside the fold."""
+    folds_of: list[int] = []
+
+    def split() -> Iterator[list[bytes]]:
+        for own in documents:
+            folds_of.append(crc32(own) % folds)
+            yield own.split()
+
+    words, found = numbered(split())
     rows = Rows(found, len(words))
-    fold, weights, cuts = np.arange(rows.n) % folds, [], []
+    fold, weights, cuts = np.array(folds_of, np.int64), [], []
     earlier = np.zeros((rows.n, 0))
     for k in range(y.shape[1]):
         out = np.zeros(rows.n)
@@ -232,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = source.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text")
     table = sample.mapInArrow(_terms_of, "doc_id long, quality int, toxic int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
     low, toxic = 1 - np.asarray(table.column("quality"), float), np.asarray(table.column("toxic"), float)
-    documents = (x.as_py().split() for x in table.column("terms"))
+    documents = (x.as_py() for x in table.column("terms"))
     return fit_chain(documents, np.column_stack([low, toxic, low * toxic]).reshape(len(low), 3))
 
 
@@ -260,7 +273,7 @@ def _classified(chain: Chain):
 
 def with_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "_toxicity") -> DataFrame:
     """docs with a struct column of one probability per category, read from the
-    whole text; null texts count as empty. Row-local: no shuffle, all other
-    columns pass through."""
+    whole text; null texts count as empty. The column is free_name(docs, into).
+    Row-local: no shuffle, all other columns pass through."""
     schema = ", ".join(f"{name} double" for name in chain.categories)
-    return docs.withColumn(into, F.arrow_udf(_classified(chain), schema)(F.col(text_col).cast("string")))
+    return docs.withColumn(free_name(docs, into), F.arrow_udf(_classified(chain), schema)(F.col(text_col).cast("string")))
