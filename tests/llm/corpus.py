@@ -2,8 +2,8 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, slot string, copy string, `_key` string, `_row` string, digest string, node string, rank string"
-EXTRA = ("x",) * 9
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, slot string, copy string, `_key` string, `_row` string, digest string, node string, rank string, `_tokens` string, `_ledger` string, `_toxicity` string, `_n` string, `_id` string"
+EXTRA = ("x",) * 14
 
 
 def words(rng, n):
@@ -33,6 +33,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def lowered(text):
+    return (text or "").encode().lower()
+
+
 def split(text):
     return (text or "").encode().split()
 
