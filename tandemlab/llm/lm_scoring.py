@@ -2,8 +2,11 @@
 of a text over all its segmentations into pieces of an existing vocabulary.
 
 The vocabulary is taken as it is from a tokenizer file. Its own numbers are
-merge ranks, not probabilities, so each piece's unigram score is the log of its
-smoothed share in the training documents' words.
+merge ranks, not probabilities, so the pieces' unigram scores are made here: a
+piece's score is the log of its smoothed share among the pieces of the training
+documents' words. The first scores count the pieces as the tokenizer segments
+the words; each round then counts what is expected of a piece over all
+segmentations (forward and backward), weighted by the scores so far.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,10 @@ from tandemlab.llm.common import cut, worker_cache
 #: Words counted most often are looked up in a broadcast table of at most this
 #: many rows, of words of at most SHORT bytes; all others are joined.
 FREQUENT, SHORT = 1 << 18, 64
+#: Bytes of text after which a worker hands on its counts, whatever their number.
+COUNTED_BYTES = 1 << 26
+#: Rounds of expected counts, and characters of words that are in work at once.
+ROUNDS, TOGETHER = 2, 1 << 16
 END = b""  # the end token: no word is empty
 SMOOTH = 0.5
 
@@ -38,8 +46,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, in training documents, in all documents), summed as far as
-    FREQUENT distinct words go."""
+    FREQUENT distinct words or COUNTED_BYTES of text go."""
     trained, every = Counter(), Counter()
+    held = 0
 
     def flush():
         words = list(every)
@@ -49,14 +58,17 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, ["word", "c", "total"])
 
     for batch in batches:
-        for text, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-            words = words_of(text.as_py())
+        for value, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
+            text = value.as_py() or ""
+            words = words_of(text)
             words.append(END)
             every.update(words)
             if not out:
                 trained.update(words)
-            if len(every) > FREQUENT:
+            held += len(text)
+            if len(every) > FREQUENT or held > COUNTED_BYTES:
                 yield flush()
+                held = 0
     if every:
         yield flush()
 
@@ -87,52 +99,154 @@ def _processor(model_path: str):
 
 
 class Lattice:
-    """Unigram scores (natural logs) of pieces, of single bytes, and of the end."""
+    """Unigram scores (natural logs) of pieces, of single bytes, and of the end.
+
+    Words of one length are in work together: a substring's 64-bit hash finds its
+    piece, and each step of the recursions is one array operation over the words.
+    """
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, pieces: dict[str, float], bytes_: list[float], end: float):
-        self.pieces, self.bytes, self.end = pieces, bytes_, end
+        self.names, self.bytes, self.end = list(pieces), np.array(bytes_, float), end
         self.longest = max(map(len, pieces), default=1)
+        hashes = np.zeros(len(pieces), np.uint64)
+        for k in range(self.longest):
+            longer = np.array([len(name) > k for name in self.names], bool)
+            letters = np.array([ord(name[k]) + 1 for name in self.names if len(name) > k], np.uint64)
+            hashes[longer] = hashes[longer] * self.FACTOR + letters
+        order = np.argsort(hashes)
+        self.hashes, self.places = np.append(hashes[order], np.uint64(0)), np.append(order, 0)
+        # the last score is that of no piece
+        self.scores = np.append(np.array(list(pieces.values()), float), -np.inf)
+
+    def _edges(self, letters: np.ndarray) -> list[np.ndarray]:
+        """letters: words by places. Per width from 1, the piece that begins at each place (-1: none)."""
+        found, hashes = [], np.zeros(letters.shape, np.uint64)
+        for width in range(1, min(self.longest, letters.shape[1]) + 1):
+            hashes = hashes[:, : letters.shape[1] - width + 1] * self.FACTOR + letters[:, width - 1 :] + np.uint64(1)
+            at = np.searchsorted(self.hashes[:-1], hashes)
+            found.append(np.where(self.hashes[at] == hashes, self.places[at], -1) if len(self.names) else np.full(hashes.shape, -1))
+        return found
+
+    def _spelt(self, letters: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Where characters are no piece and are spelt in bytes; their scores."""
+        missing = single < 0
+        codes, which = np.unique(letters[missing], return_inverse=True)
+        raw = [chr(int(c)).encode("utf-8", "replace") for c in codes]
+        cost = np.array([self.bytes[list(x)].sum() for x in raw])
+        return missing, which, raw, cost
+
+    def _forward(self, letters: np.ndarray):
+        edges = self._edges(letters)
+        weights = [self.scores[e] for e in edges]
+        missing, which, raw, cost = self._spelt(letters, edges[0])
+        weights[0][missing] = cost[which]
+        n, length = letters.shape
+        ahead = np.full((n, length + 1), -np.inf)
+        ahead[:, 0] = 0
+        for j in range(1, length + 1):
+            ahead[:, j] = _log_sum([ahead[:, j - w] + weights[w - 1][:, j - w] for w in range(1, min(len(edges), j) + 1)])
+        return edges, weights, (missing, which, raw), ahead
+
+    def log_marginals(self, words: list[str]) -> np.ndarray:
+        """Log of the summed probabilities of all segmentations of each word with
+        its leading mark; a character that is no piece is spelt in bytes. Marks
+        only begin pieces, so a text's lattice falls apart into those of its words
+        and its marginal is their sum."""
+        out = np.zeros(len(words))
+        for at, letters in _by_length(words):
+            out[at] = self._forward(letters)[-1][:, -1]
+        return out
 
     def log_marginal(self, word: str) -> float:
-        """Log of the summed probabilities of all segmentations of a word with
-        its leading mark, by the forward recursion; a character that is no
-        piece is spelt in bytes. Marks only begin pieces, so a text's lattice
-        falls apart into those of its words and its marginal is their sum."""
-        text, pieces = "▁" + word, self.pieces
-        ahead = [0.0] + [-math.inf] * len(text)
-        for j in range(1, len(text) + 1):
-            terms = []
-            for i in range(max(0, j - self.longest), j):
-                score = pieces.get(text[i:j])
-                if score is not None:
-                    terms.append(ahead[i] + score)
-            if text[j - 1] not in pieces:
-                terms.append(ahead[j - 1] + sum(self.bytes[b] for b in text[j - 1].encode("utf-8", "replace")))
-            top = max(terms)
-            ahead[j] = top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top
-        return ahead[-1]
-
-
-def make_lattice(model_path: str, uses: dict[int, int], ends: int) -> Lattice:
+        return float(self.log_marginals([word])[0])
+
+    def expected(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Uses of each piece and of each byte that are expected over all
+        segmentations of the words, each counted so many times."""
+        uses, spelt = np.zeros(len(self.names)), np.zeros(256)
+        for at, letters in _by_length(words):
+            edges, weights, (missing, which, raw), ahead = self._forward(letters)
+            n, length = letters.shape
+            behind = np.full((n, length + 1), -np.inf)
+            behind[:, -1] = 0
+            for i in range(length - 1, -1, -1):
+                behind[:, i] = _log_sum([weights[w - 1][:, i] + behind[:, i + w] for w in range(1, min(len(edges), length - i) + 1)])
+            for w, (pieces, weight) in enumerate(zip(edges, weights, strict=True), 1):
+                # impossible paths are -inf on both sides
+                share = np.exp(ahead[:, : length - w + 1] + weight + behind[:, w:] - ahead[:, -1:]) * counts[at][:, None]
+                held = pieces >= 0
+                uses += np.bincount(pieces[held], share[held], minlength=len(uses))
+                if w == 1 and len(raw):
+                    for letter, total in zip(raw, np.bincount(which, share[missing], minlength=len(raw)), strict=True):
+                        np.add.at(spelt, list(letter), total)
+        return uses, spelt
+
+
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    if len(terms) == 1:
+        return terms[0]
+    held = np.stack(terms)
+    top = held.max(axis=0)
+    top[np.isneginf(top)] = 0
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(held - top).sum(axis=0))
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of words, their characters with the mark before them) of words of one length."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    for length in np.unique(lengths):
+        same = np.flatnonzero(lengths == length)
+        step = max(1, TOGETHER // int(length + 1))
+        for k in range(0, len(same), step):
+            at = same[k : k + step]
+            raw = "".join("▁" + words[i] for i in at).encode("utf-32-le", "surrogatepass")
+            yield at, np.frombuffer(raw, "<u4").reshape(len(at), length + 1).astype(np.uint64)
+
+
+def make_lattice(model_path: str, uses: dict[int, float], ends: int) -> tuple[Lattice, list[int], list[int]]:
     """Scores from the uses of each piece (one row per piece of the vocabulary,
-    whose size is fixed) and the number of training documents."""
+    whose size is fixed) and the number of training documents; the ids of the
+    lattice's pieces and of the 256 bytes (-1: none)."""
     processor = _processor(model_path)
     known = [k for k in range(processor.get_piece_size()) if not (processor.is_control(k) or processor.is_unknown(k))]
     total = sum(uses.get(k, 0) for k in known) + ends + SMOOTH * (len(known) + 1)
     score = {k: math.log((uses.get(k, 0) + SMOOTH) / total) for k in known}
-    spelt, pieces = [math.log(SMOOTH / total)] * 256, {}
+    spelt, pieces, of_piece, of_byte = [math.log(SMOOTH / total)] * 256, {}, [], [-1] * 256
     for k in known:
         if processor.is_byte(k):
-            spelt[int(re.fullmatch("<0x(..)>", processor.id_to_piece(k))[1], 16)] = score[k]
+            byte = int(re.fullmatch("<0x(..)>", processor.id_to_piece(k))[1], 16)
+            spelt[byte], of_byte[byte] = score[k], k
         elif "▁" not in (piece := processor.id_to_piece(k))[1:]:
             pieces[piece] = score[k]
-    return Lattice(pieces, spelt, math.log((ends + SMOOTH) / total))
+            of_piece.append(k)
+    return Lattice(pieces, spelt, math.log((ends + SMOOTH) / total)), of_piece, of_byte
+
+
+def _expected(lattice: Lattice, of_piece: list[int], of_byte: list[int]):
+    """(piece id, expected uses) over words weighted by their count."""
+
+    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses, spelt = np.zeros(len(of_piece)), np.zeros(256)
+        for batch in batches:
+            words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+            a, b = lattice.expected(words, np.asarray(batch.column("c"), float))
+            uses, spelt = uses + a, spelt + b
+        ids, found = np.array([*of_piece, *of_byte], np.int64), np.concatenate([uses, spelt])
+        there = (found > 0) & (ids >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(found[there])], ["piece", "uses"])
+
+    return expected
 
 
 def _scoring(lattice: Lattice):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marginal = [lattice.end if w == END else lattice.log_marginal(w.decode("utf-8", "replace")) for w in batch.column("word").to_pylist()]
+            words = batch.column("word").to_pylist()
+            marginal = lattice.log_marginals([w.decode("utf-8", "replace") for w in words])
+            marginal[[w == END for w in words]] = lattice.end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marginal, pa.float64())], [*batch.schema.names, "marginal"])
 
     return scored
@@ -194,7 +308,10 @@ def score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
     trained = counts.where("c > 0 and octet_length(word) > 0")
     uses = trained.mapInArrow(_pieces_used(model_path), "piece long, uses long").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    lattice = make_lattice(model_path, {r.piece: r.uses for r in uses.collect()}, ends)
+    lattice, *ids = make_lattice(model_path, {r.piece: r.uses for r in uses.collect()}, ends)
+    for _ in range(ROUNDS):
+        uses = trained.select("word", "c").mapInArrow(_expected(lattice, *ids), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+        lattice, *ids = make_lattice(model_path, {r.piece: r.uses for r in uses.collect()}, ends)
 
     base = F.log10((F.col("c") + SMOOTH) / (n + SMOOTH * (v + 1)))
     words = counts.mapInArrow(_scoring(lattice), "word binary, c long, total long, marginal double")
