@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemlab.llm import exact_dedup, lm_scoring, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, token_counts, toxicity
+from tandemlab.llm.common import scratch_path
 
 N_SHARDS, OVER = 24, 2048
 
@@ -25,14 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
+    """The map lives in the shared folder: version 1 deals the slots round robin,
+    version 2 is edited to the bytes of this table."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS, map_path=scratch_path(spark, "slot-map"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
     )
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "copies")
 
 
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +126,41 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   cast(b0::int + 2 * b1::int + 4 * b2::int + 8 * b3::int + 16 * b4::int + 32 * b5::int + 64 * b6::int as bigint) as failed,
   b0 or b1 as base_failed, not (b0 or b1 or b2 or b3 or b4 or b5 or b6) as kept
 from bits""",
+    "op2_pareto_mix": rf"""
+with rows as (
+  select doc_id, source, cast(len({_WORDS}) as bigint) as size, md5(coalesce(text, '')) as digest from documents),
+sizes as (select source, cast(sum(size) as bigint) as source_size from rows group by source),
+ordered as (
+  select *, 3.0 * source_size as cap, [5.0, 2.0, 1.0][cast((row_number() over (order by source is null, source) - 1) % 3 + 1 as int)]::double as w from sizes),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) as level
+  from ordered window before as (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding)),
+targets as (
+  select source, source_size, least(cap, w * (select level from levels where cap / w >= level order by cap / w, source is null, source limit 1)) as target from levels),
+classes as (
+  select r.source, target, length(bin(size)) as g, cast(sum(size) as double) as words
+  from rows r join targets t on r.source is not distinct from t.source where size > 0 group by all),
+steps as (
+  select *, (target - 3 * coalesce(sum(words) over above, 0)) / sum(g * words) over upto as rate
+  from classes window above as (partition by source order by g desc rows between unbounded preceding and 1 preceding),
+    upto as (partition by source order by g rows between unbounded preceding and current row)),
+rates as (select source, arg_max(rate, g) filter (rate * g <= 3 + 1e-9) as rate from steps group by source),
+wanted as (
+  select r.*, source_size, target, case when size > 0 then least(3.0, rate * length(bin(size))) else 0.0 end as e
+  from rows r join targets t on r.source is not distinct from t.source left join rates x on r.source is not distinct from x.source),
+split as (select *, floor(e + 1e-9) as whole, case when e - floor(e + 1e-9) > 1e-9 then e - floor(e + 1e-9) end as f from wanted),
+drawn as (
+  select *, sum(whole * size) over (partition by source) as certain,
+    (('0x' || substr(md5('17:' || doc_id || ':' || digest || ':0'), 1, 13))::bigint + 0.5) / 4503599627370496.0 as u from split),
+ranked as (select *, u / (1 - u) * (1 - f) / f as q, target - certain as rest from drawn),
+first as (
+  select *, q is not null and size > 0 and sum(case when q is not null then size else 0 end) over (partition by source order by q nulls last, doc_id) <= rest as one from ranked),
+again as (select *, rest - coalesce(sum(size) filter (one) over (partition by source), 0) as open from first),
+second as (
+  select *, not one and q is not null and size > 0 and size <= open
+    and sum(case when not one and q is not null and size <= open then size else 0 end) over (partition by source order by q nulls last, doc_id) <= open as two from again)
+select doc_id, size, source_size, round(target, 4) as target, cast((whole + one::int + two::int) * size as bigint) as taken, cast(whole + one::int + two::int as bigint) as copies
+from second""",
     "op5_radix_dedup": """
 with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 g as (select t, max(doc_id) as keep_id, cast(count(*) as bigint) as group_size from n group by t)
@@ -137,4 +176,16 @@ kept as (
   from each e left join gone x on x.doc_id = e.doc_id and x.at = e.at where x.at is null group by e.doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from docs d left join kept k using (doc_id)""",
+    "op7_minhash": rf"""
+with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from docs),
+parts as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from parts a join parts b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (with recursive r(a, b) as (select a, b from links union select r.a, l.b from r join links l on r.b = l.a) select a, min(b) as least from r group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(least, doc_id)) as component_id, doc_id <= coalesce(least, doc_id) as kept
+from sets left join reach on a = doc_id""",
 }

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import cut, numbered_copies, text_or_empty
+from tandemlab.llm.common import cut, free_name, numbered_copies, packed, text_or_empty
 
 N_SLOTS = 4096
 MAP_SCHEMA = "version int, n_shards int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
@@ -90,8 +90,16 @@ def map_frame(spark: SparkSession, slot_map: SlotMap) -> DataFrame:
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
-    """Append a version to the map table at path; older versions stay readable."""
+    """Append a version to the map table at path; older versions stay readable
+    and are never written again. One writer at a time."""
+    if _exists(spark, f"{path}/version={slot_map.version}"):
+        raise ValueError(f"version {slot_map.version} of the slot map is there already")
     map_frame(spark, slot_map).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
@@ -147,33 +155,61 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     """Deal every row of docs to a shard so that shard sizes are near equal.
 
     Starts from the newest map at map_path (else a fresh one), measures bytes
-    per slot, edits the map and, with map_path, stores the new version. Returns
-    doc_id, size, text_crc32, copy, virtual_slot, shard, slot, map_version.
+    per slot, edits the map and, with map_path, stores the new version and reads
+    it back: that table says where every record is. Returns doc_id, size, text_crc32, copy, virtual_slot, shard, slot, map_version.
     Empty input gives no rows; other columns of docs are not read.
     """
     spark = docs.sparkSession
     rows = cut(slotted(docs, id_col, text_col, n_slots), "slots")
-    old = initial_map(n_shards, n_slots)
-    if map_path:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(map_path)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            old = load_map(spark, map_path)
-        else:
+    if map_path and _exists(spark, map_path):
+        old = load_map(spark, map_path)
+        if old.n_shards != n_shards or len(old.owner) != n_slots:
+            raise ValueError(f"the stored map has {old.n_shards} shards and {len(old.owner)} slots; grow() it first")
+    else:
+        old = initial_map(n_shards, n_slots)
+        if map_path:
             store_map(spark, old, map_path)
     new = rebalance(old, *slot_totals(rows, n_slots))
     if map_path:
         store_map(spark, new, map_path)
+        new = load_map(spark, map_path)
     return place(rows, new)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole records into path/shard=k. Records find their shard by id and
-    text checksum; rows equal in both keep their number of copies."""
-    text = text_or_empty(text_col)
-    wanted = placed.groupBy("doc_id", "text_crc32", "size", "shard").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "_n")
-    keyed = docs.dropDuplicates([id_col, text_col]).join(
-        wanted, F.col(id_col).eqNullSafe(F.col("_id")) & (F.crc32(text.cast("binary")) == F.col("_crc")) & (F.octet_length(text) + 8 == F.col("_size"))
-    )
-    copies = keyed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    copies.drop("_id", "_crc", "_size", "_n", "_copy").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write whole records, all columns, into path/shard=k, and return the name
+    of that column, which is free_name(docs, "shard").
+
+    placed: the rows of shard() on the same docs. A record finds its shard by id,
+    text checksum and size. Records equal in these are numbered, by their place
+    in the input and not in one task, and the k-th takes the place of copy k."""
+    name = free_name(docs, "shard")
+    text = text_or_empty(f"_row.{text_col}")
+    size = (F.octet_length(text) + 8).cast("long")
+    rows = packed(docs).select("_row", F.col(f"_row.{id_col}").cast("long").alias("_id"), F.crc32(text.cast("binary")).alias("_crc"), size.alias("_size"))
+    keys = ["_id", "_crc", "_size"]
+    to = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "copy", F.col("shard").alias("_shard"))
+    every = to.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_shard").alias("_shard"))
+    single = _join(rows, every.where("_n = 1").drop("_n"), keys)
+
+    # alike in all keys: counted by the part of the input they stand in, then numbered within it
+    alike = _join(rows, every.where("_n > 1").select(*keys), keys).withColumn("_at", F.monotonically_increasing_id())
+    alike = cut(alike.withColumn("_part", F.shiftright("_at", 33)), "alike-rows")
+    parts = alike.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_at"))
+    numbered = _join(alike.withColumn("_nth", nth), parts, [*keys, "_part"]).withColumn("copy", F.col("_before") + F.col("_nth") - 1)
+    numbered = _join(numbered, to, [*keys, "copy"]).select("_row", "_shard")
+
+    found = single.select("_row", "_shard").unionAll(numbered).select("_row.*", F.col("_shard").alias(name))
+    found.write.partitionBy(name).parquet(path)
+    return name
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; both sides grow with the input."""
+    right = right.select(*(F.col(k).alias(f"{k}_") if k in keys else k for k in right.columns))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return left.join(right.hint("merge"), same).drop(*(f"{k}_" for k in keys))
