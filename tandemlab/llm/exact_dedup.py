@@ -8,38 +8,23 @@ with what remains of their text. Equality is that of the bytes themselves.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import string
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlab.llm.common import cut, doc_key, packed, word_memory
+from tandemlab.llm.common import cut, doc_key, packed, text_or_empty
 
 FIRST_DIGIT, GROWTH = 64, 8
 
 
-def normalise(text: str | None) -> bytes:
-    """UTF-8 with A-Z lower-cased and nothing else changed; null is empty."""
-    return (text or "").encode("utf-8", "surrogatepass").lower()
-
-
-def _digits(width: int, whole: bool):
-    """Splits a text into its first digit and, if whole, the rest and a digest
-    (which is only handed on, never compared)."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_memory()
-        for batch in batches:
-            data = [normalise(text.as_py()) for text in batch.column(1)]
-            columns = [batch.column(0), pa.array([x[:width] for x in data], pa.binary())]
-            if whole:
-                columns += [pa.array([x[width:] for x in data], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digit", "rest", "text_sha256"][: len(columns)])
-
-    return split
+def normalised(text_col: str) -> Column:
+    """UTF-8 with A-Z lower-cased and nothing else changed; null is empty. Where
+    all characters are ASCII, lower does just that, and faster."""
+    text = text_or_empty(text_col)
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).cast("binary")
 
 
 def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,10 +42,11 @@ def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep_id is null only if all of the group are null. Of rows that are equal
     in doc_id and text, one is kept at most. Empty input gives no rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    heads = source.mapInArrow(_digits(first_digit, False), "doc_id long, digit binary")
-    groups = _groups(heads, ["digit"])
-    rows = source.mapInArrow(_digits(first_digit, True), "doc_id long, digit binary, rest binary, text_sha256 string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("_data"))
+    digit, rest = F.expr(f"substring(_data, 1, {first_digit})").alias("digit"), F.expr(f"substring(_data, {first_digit + 1})").alias("rest")
+    groups = _groups(source.select("doc_id", digit), ["digit"])
+    # the digest is only handed on, never compared
+    rows = source.select("doc_id", digit, rest, F.sha2("_data", 256).alias("text_sha256"))
     keys, width, done = ["digit"], first_digit, []
     while True:
         # both sides are shuffled for this join alone, so AQE can split hot groups;
@@ -99,12 +85,7 @@ def _one_kept(rows: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that equal_texts keeps, columns unchanged."""
     kept = equal_texts(docs, id_col, text_col).where("kept").select(doc_key("doc_id", F.col("text_sha256")).alias("_key"))
-
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([hashlib.sha256(normalise(text.as_py())).hexdigest() for text in texts], pa.string())
-
-    digests = packed(docs).withColumn("_sha", F.arrow_udf(digest, "string")(F.col(f"_row.{text_col}").cast("string")))
+    digests = packed(docs).withColumn("_sha", F.sha2(normalised(f"_row.{text_col}"), 256))
     keyed = digests.select("_row", doc_key(f"_row.{id_col}", F.col("_sha")).alias("_key"))
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
     return keyed.join(kept.hint("merge"), "_key", "left_semi").withColumn("_nth", first).where("_nth = 1").select("_row.*")
