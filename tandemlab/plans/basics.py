@@ -355,7 +355,8 @@ def win_thirds(spark, sf_dir):
 
 @query(S + f""", {MAP_SQL}, e as (select quantile_cont(score, 1.0 / 3) as a, quantile_cont(score, 2.0 / 3) as b from m) select dyad, trial, case when score <= a then 'easy' when score <= b then 'medium' else 'hard' end as tertile from m, e""")
 def win_tertiles(spark, sf_dir):
-    rows = trials(spark, sf_dir)
+    """Scores of nine digits: equal ones stay equal in whatever order they were summed."""
+    rows = trials(spark, sf_dir).withColumn("score", F.round("score", 9))
     edges = rows.agg(F.percentile("score", F.lit(1 / 3)).alias("a"), F.percentile("score", F.lit(2 / 3)).alias("b"))
     tertile = F.when(F.col("score") <= F.col("a"), "easy").when(F.col("score") <= F.col("b"), "medium").otherwise("hard")
     return rows.join(F.broadcast(edges)).select(*TRIAL, tertile.alias("tertile"))

@@ -80,3 +80,18 @@ def test_models_read_all_dimensions(spark, tmp_path):
     want = z @ np.linalg.svd(z, full_matrices=False)[2][0]
     assert np.allclose(np.abs(found.pc1), np.abs(want), atol=1e-3)
     assert sorted(r.feature for r in QUERIES["ml_importance"](spark, at).collect()) == list(range(64))
+
+
+def events_at(spark, path, rows):
+    """One file of events in the order of rows: (user_id, millisecond, event_type, value, k)."""
+    start = pd.Timestamp("2024-01-01")
+    frame = pd.DataFrame([(n, start + pd.Timedelta(milliseconds=t), u, kind, x, f'{{"k": {k}}}') for n, (u, t, kind, x, k) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    spark.createDataFrame(frame, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_tertiles_of_equal_scores(spark, tmp_path):
+    """The same three values summed in two orders are one score."""
+    values = [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)]
+    at = events_at(spark, tmp_path, [(2 * d, k, "view", x, 1) for d in range(12) for k, x in enumerate(values[d % 2])])
+    assert {r.tertile for r in QUERIES["win_tertiles"](spark, at).collect()} == {"easy"}
