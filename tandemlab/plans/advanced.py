@@ -311,9 +311,12 @@ def ts_offset_pick(spark, sf_dir):
     flashes = rows.where(kind("view")).select(*TRIAL, F.col("t").alias("flash"))
     edges = rows.where(kind("signup")).select(*TRIAL, F.col("t").alias("edge"))
     pupil = rows.where(kind("view")).select(*TRIAL, F.col("x").alias("offset"))
-    single = rows.groupBy(*TRIAL).agg(
-        F.avg(F.when(kind("click"), F.col("x") - 60)).alias("lsl"), F.min_by("x", F.when(kind("error"), F.col("t"))).alias("manual"), F.avg(F.when(kind("purchase"), F.col("y") - F.col("x"))).alias("coarse")
-    )
+    # means are cut to whole numbers: running sums in the order of events don't depend on how rows are dealt
+    order = Window.partitionBy(*TRIAL).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    parts = {"lsl": F.when(kind("click"), F.col("x") - 60), "coarse": F.when(kind("purchase"), F.col("y") - F.col("x"))}
+    summed = rows.select(*TRIAL, "event_id", "event_type", "t", "x", *(v.alias(c) for c, v in parts.items()), *(F.sum(v).over(order).alias(f"_{c}") for c, v in parts.items()))
+    mean = lambda c: F.try_divide(F.max_by(f"_{c}", "event_id"), F.count(c)).alias(c)
+    single = summed.groupBy(*TRIAL).agg(mean("lsl"), F.min_by("x", F.when(kind("error"), F.struct("t", "event_id"))).alias("manual"), mean("coarse"))
     found = al.offset_choice(single, flashes, edges, pupil, TRIAL)
     return found.select(*TRIAL, "method", F.round("shift", 6).alias("shift"))
 

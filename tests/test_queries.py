@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tandemlab.plans.registry import ORACLES, QUERIES
@@ -95,3 +96,17 @@ def test_tertiles_of_equal_scores(spark, tmp_path):
     values = [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)]
     at = events_at(spark, tmp_path, [(2 * d, k, "view", x, 1) for d in range(12) for k, x in enumerate(values[d % 2])])
     assert {r.tertile for r in QUERIES["win_tertiles"](spark, at).collect()} == {"easy"}
+
+
+def test_offset_in_whatever_order(spark, con, tmp_path):
+    """The mean over clicks is 142, which a sum of another order misses; two errors share a time."""
+    values = [37.18, 198.51, 171.99, 400.32]
+    rows = [(0, k, "click", x, 1) for k, x in enumerate(values)] + [(0, 9, "view", 5.0, 1)] + [(2, 5, "error", x, 1) for x in (3.0, 4.0)]
+    at = events_at(spark, tmp_path, rows)
+    spark.read.parquet(f"{at}/events.parquet").orderBy(F.desc("event_id")).coalesce(1).write.parquet(f"{tmp_path}/back/events.parquet")
+    want = [(0, 3, "lsl", 142.0), (1, 3, "manual", 3.0)]
+    for path in (at, f"{tmp_path}/back"):
+        assert sorted(map(tuple, QUERIES["ts_offset_pick"](spark, path).collect())) == want
+    made = con.cursor()
+    made.sql(f"create temp view events as from '{at}/events.parquet/*.parquet'")
+    assert sorted(made.sql(ORACLES["ts_offset_pick"]).fetchall()) == want
