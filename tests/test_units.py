@@ -346,3 +346,24 @@ def test_accuracy_steps_by_batches(spark):
         mask = grouped.raster(parts, 20, 20)
         assert row.coverage == pytest.approx(mask.mean()) and row.iou == pytest.approx((truth & mask).sum() / (truth | mask).sum(), abs=1e-6)
         assert np.allclose(grouped.distances_at(mask, np.nonzero(truth)), grouped.distance_transform(mask)[truth])
+
+
+def test_stability_by_classes(spark):
+    """Three thousand items of five profiles: shares by pairs of classes, all pairs of items beside them."""
+    rng = np.random.default_rng(4)
+    kinds = rng.integers(0, 3, (5, 4))
+    rows = [(seed, item, int(kinds[item % 5, seed])) for item in range(3000) for seed in range(4) if (item % 5, seed) != (4, 1)]
+    labels = spark.createDataFrame(rows, "seed int, item long, cluster long")
+    classes = st.profiles(labels, "seed", "item", "cluster")
+    assert st.met_classes(labels, classes, "seed", "item", "cluster").count() <= 15
+    few = labels.where("item < 60")
+    shares = st.co_assignment(few, "seed", "item", "cluster")
+    want = {}
+    for s, i, c in [r for r in rows if r[1] < 60]:
+        for t, j, d in [r for r in rows if r[1] < 60]:
+            if s == t and c == d and i < j:
+                want[i, j] = want.get((i, j), 0) + 1
+    assert {(r.a, r.b): r.share for r in shares.collect()} == {k: v / 4 for k, v in want.items()}
+    for seed in (0, 1):
+        plain = st.stability(shares, few.where(F.col("seed") == seed).select("item", "cluster")).first()
+        assert st.class_stability(few, "seed", "item", "cluster", seed).first() == plain
