@@ -551,7 +551,7 @@ p as (select x.item as a, y.item as b, x.c = y.c as same from ref x join ref y o
 def st_stability(spark, sf_dir):
     """Clusters of dyads in six trials, the first of which is the reference."""
     labels = samples(spark, sf_dir).groupBy(F.col("trial").alias("seed"), F.col("dyad").alias("item")).agg(F.floor(F.avg("x") / 20).alias("cluster"))
-    return st.stability(st.co_assignment(labels, "seed", "item", "cluster"), labels.where("seed = 3").select("item", "cluster"))
+    return st.class_stability(labels, "seed", "item", "cluster", 3)
 
 
 @query(VEC_SQL + """, i as (select feature, ['drawing', 'gaze', 'hr', 'speech'][cast(feature % 4 + 1 as int)] as modality, round(abs(avg(v)), 6) as importance from e group by feature)
