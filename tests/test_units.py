@@ -385,3 +385,17 @@ def test_clusterings_share_their_distances(spark, monkeypatch):
         own = c[:, r["_which"]]
         means = {k: far[r.id, (own == k) & (np.arange(50) != r.id)].mean() for k in set(own.tolist())}
         assert r["_own"] == own[r.id] and r.a == pytest.approx(means.pop(own[r.id]), rel=1e-6) and r.b == pytest.approx(min(means.values()), rel=1e-6)
+
+
+def test_permuted_scores_equal_the_plain_way(spark, monkeypatch):
+    """Scores by products are those of centroid_scores over labels dealt in long form."""
+    monkeypatch.setattr(learn, "PERMS_A_TASK", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 7, int(rng.integers(0, 2)), i % 7 % 3, [*rng.normal(size=3).tolist(), 1.0, None if i == 5 else float(i)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, g long, label int, fold int, v array<double>")
+    dealt = st.shuffled_within(table.select("id", "g", "label"), "g", "id", "label", 8, 7).unionByName(table.select(F.lit(-1).alias("perm"), "id", "label"))
+    plain = table.drop("label").select("id", "fold", F.posexplode("v").alias("feature", "v")).join(dealt, "id")
+    want = {(r.perm, r.id): (r.label, r.score) for r in learn.centroid_scores(plain, ["perm"], "id").collect()}
+    found = {(r.perm, r.id): (r.label, r.score) for r in learn.permuted_scores(table, "id", "g", "v", "label", "fold", 8, 7).collect()}
+    assert found.keys() == want.keys() and len(want) == 540
+    assert all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
