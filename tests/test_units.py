@@ -399,3 +399,11 @@ def test_permuted_scores_equal_the_plain_way(spark, monkeypatch):
     found = {(r.perm, r.id): (r.label, r.score) for r in learn.permuted_scores(table, "id", "g", "v", "label", "fold", 8, 7).collect()}
     assert found.keys() == want.keys() and len(want) == 540
     assert all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
+
+
+def test_nearest_columns_and_stumps_without_sorts():
+    """Ties go to the first column; the partition finds what a stable sort finds."""
+    rng = np.random.default_rng(9)
+    for d in (rng.normal(size=(30, 50)), rng.integers(0, 4, (30, 50)).astype(float)):
+        for k in (1, 11, 50):
+            assert (learn.nearest_columns(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
