@@ -1,6 +1,7 @@
 """Hand-computed cases."""
 
 import json
+import tracemalloc
 import zipfile
 
 import numpy as np
@@ -407,3 +408,22 @@ def test_nearest_columns_and_stumps_without_sorts():
     for d in (rng.normal(size=(30, 50)), rng.integers(0, 4, (30, 50)).astype(float)):
         for k in (1, 11, 50):
             assert (learn.nearest_columns(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_kernel_holds_one_matrix():
+    """The margins of the bordered system solved whole, in memory for one matrix and strips."""
+    rng = np.random.default_rng(10)
+    x, new = rng.normal(size=(2100, 5)), rng.normal(size=(700, 5))
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=2100) / 4 > 0).astype(float)
+    tracemalloc.start()
+    found = learn.kernel_margin(x, y, new)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.2 * 8 * 2100**2
+    scale = 1 / (5 * x.var())
+    kernel = lambda a: np.exp(-scale * ((a[:, None] - x[None]) ** 2).sum(axis=2))
+    border = np.block([[np.zeros((1, 1)), np.ones((1, 2100))], [np.ones((2100, 1)), kernel(x) + np.eye(2100)]])
+    inverse = np.linalg.inv(border)
+    solved = inverse @ np.r_[0.0, 2 * y - 1]
+    left_out = 2 * y - 1 - solved[1:] / np.diag(inverse)[1:]
+    assert np.allclose(found, learn.logistic(left_out[:, None], y, (kernel(new) @ solved[1:] + solved[0])[:, None]), atol=1e-8)
