@@ -427,3 +427,27 @@ def test_kernel_holds_one_matrix():
     solved = inverse @ np.r_[0.0, 2 * y - 1]
     left_out = 2 * y - 1 - solved[1:] / np.diag(inverse)[1:]
     assert np.allclose(found, learn.logistic(left_out[:, None], y, (kernel(new) @ solved[1:] + solved[0])[:, None]), atol=1e-8)
+
+
+def test_kernel_by_tiles_on_disk(monkeypatch, tmp_path):
+    """With tiles in a file the margins stay, memory is far from rows by rows, and no file is left."""
+    rng = np.random.default_rng(11)
+    x, new = rng.normal(size=(2100, 5)), rng.normal(size=(70, 5))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    want = learn.kernel_margin(x, y, new)
+    monkeypatch.setattr(learn, "HELD", 0, raising=False)
+    monkeypatch.setattr(learn, "COLUMN", 8 * 2100 * 130, raising=False)
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    tracemalloc.start()
+    found = learn.kernel_margin(x, y, new)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.3 * 8 * 2100**2 and not list(tmp_path.iterdir())
+    assert np.allclose(found, want, atol=1e-12)
+    a = rng.normal(size=(300, 300))
+    a, known = a @ a.T + np.eye(300), rng.normal(size=(300, 2))
+    for width in (17, 128, 512):
+        monkeypatch.setattr(learn, "STRIP", width)
+        monkeypatch.setattr(learn, "COLUMN", 1 << 30)
+        solved, diagonal = learn.inverse_parts(lambda i, j: a[i, j].copy(), 300, known)
+        assert np.allclose(solved, np.linalg.solve(a, known)) and np.allclose(diagonal, np.linalg.inv(a).diagonal())
